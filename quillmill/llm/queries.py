@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import split
+from quillmill.llm import bpe, split
 from quillmill.runtime import read_table
 
 
@@ -19,7 +19,11 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter(F.col("n_pieces") > 1).dropDuplicates(["chunk_id", "piece", "text"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(read_table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids}
 
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 _KEY = f"regexp_replace(%s, '^{_WS}|{_WS}$', '', 'g')"
