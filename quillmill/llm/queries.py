@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, split
+from quillmill.llm import bpe, mix, residue, split
 from quillmill.runtime import read_table
 
 
@@ -23,7 +23,31 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(read_table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p7_ids": p7_ids}
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(mix.sized_documents(read_table(spark, d, "documents")), read_table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(mix.sized_documents(read_table(spark, d, "documents")), read_table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residues(read_table(spark, d, "documents"))
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(read_table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p7_ids": p7_ids,
+    "p8_shares": p8_shares,
+    "p8_mix": p8_mix,
+    "p9_found": p9_found,
+    "p9_kept": p9_kept,
+}
 
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 _KEY = f"regexp_replace(%s, '^{_WS}|{_WS}$', '', 'g')"
