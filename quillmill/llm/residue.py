@@ -21,7 +21,7 @@ _FIELD = (
 )
 _DOTTED = rf"(?:{_FIELD}(?:\.{_FIELD})*)"
 # Forms of a template's field left unfilled.
-PLACEHOLDER = "|".join(
+PLACEHOLDER = r"(?=[{%<@$#_«\[(（【])(?:" + "|".join(
     (
         r"\{\{\{?[#/^>&! ]{0,3}\p{L}[^{}\n]{0,60}\}\}",
         r"\{%-?[^%{}\n]{1,60}%\}",
@@ -44,7 +44,7 @@ PLACEHOLDER = "|".join(
         r"\((?iu:escrever|escreva|inserir)[^()\n]{0,30} aqui\)|（请在[^（）\n]{0,12}(?:输入|填写)[^（）\n]{0,12}）",
         r"【[^【】\n]{0,16}(?:填|输入)[^【】\n]{0,16}】",
     )
-)
+) + ")"
 # How messages of failed requests are worded, by stems, in the languages of the vault.
 ERROR = (
     r"(?iu)(?:^|\b)(?:http/\d(?:\.\d)?\s+|err(?:or)?[ _:]*|status[ =:]+|<h1>|<title>)[45]\d\d\b"
@@ -82,53 +82,57 @@ SCRIPT = (
     r"|bloqueia (?:os )?scripts|(?:necesita|precisa|requiere|requer)\b.{0,20}scripts?"
     r"|启用.{0,6}(?:javascript|脚本)|禁用.{0,4}脚本|(?:允许|需要).{0,6}(?:运行)?脚本|支持.{0,4}脚本"
 )
-# Stand-in words of lists and keyboard runs, and of mock Latin.
+# Stand-in words of lists, keyboard runs and mock Latin.
 DUMMY = r"(?iu)^(?:[-*+\s\[\]]*(?:\.{2,}|…|\?{2,}|x{3,}|foo|bar|baz|foo bar|bar baz|todo|tbd|tba|n/?a|test|lorem|[-–_]+)[\s.,;:]*)+$"
-MASH = r"(?iu)^(?:asdf\w*|qwer\w*|jkl\w*|zxcv\w*|hjkl\w*|sdfg?\w*|x{2,}|test|bla|blah|foo|bar|baz|todo|tbd)$"
-MOCK_LATIN = (
-    r"(?iu)^(?:lorem|ipsum|dolor\w*|sit|amet|consectetur|adipi\w+|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua"
-    r"|enim|minim|veniam|quis|nostrud|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute|irure|velit|esse|cillum"
-    r"|fugi\w+|null\w+|pariatur|excepteur|sint|occaecat|cupidatat|proident|sunt|culpa|officia|deserunt|mollit|anim|laborum"
-    r"|pretor|sidium|carpis|vestal|velunt|quorin|portis|varius|fugat|conditor|semper|brevis|altum|molenda|eget|ferrum|tremio)$"
+MOCK = (
+    r"(?iu)(?<![\p{L}\p{N}])(?:l(?:orem|abor(?:e|is|um))|i(?:psum|ncididunt|rure)|d(?:olor\w*|uis|eserunt)|sed|sit|sint|sunt"
+    r"|s(?:idium|emper)|a(?:met|dip\w+|liqu(?:a|ip)|ute|nim|ltum)|con(?:sectetur|sequat|ditor)|c(?:ommodo|illum|upidatat|ulpa|arpis)"
+    r"|e(?:lit|iusmod|nim|sse|xcepteur|get)|t(?:empor|remio)|m(?:agna|inim|ollit|olenda)|v(?:eniam|elit|estal|elunt|arius)"
+    r"|qu(?:is|orin)|n(?:ostrud|isi|ull\w+)|ullamco|fu(?:gi\w+|gat)|ferrum|p(?:ariatur|roident|retor|ortis)|o(?:ccaecat|fficia)|brevis"
+    r"|asdf\w*|qwer\w*|jkl|zxcv\w*|hjkl\w*|sdfg\w*|xx+|test|bla|blah|foo|bar|baz|todo|tbd)(?![\p{L}\p{N}])"
 )
+WORD = r"[\p{L}\p{N}_]+|[?.]{2,}"
+HAN = r"[\u4E00-\u9FFF]"
 KINDS = ("script_notice", "error_page", "filler", "placeholder")
 
 
+def _replace(text: Column, where: Column, pattern: str, by: str) -> Column:
+    """A costly replacement, only where a cheap test says that it may apply."""
+    return F.when(where, F.regexp_replace(text, pattern, by)).otherwise(text)
+
+
 def prose(text: Column) -> Column:
     """A record's own words: no front matter, code, formula or quoted phrase.
 
     Line ends become ``\\n``. What a note shows in code, or quotes in words, is its subject, not its residue.
     """
-    t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?s)\A\s*---\n.{0,4000}?\n---(?:\n|\z)", "\n")
-    t = F.regexp_replace(t, r"(?ms)^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[ \t]*$|\z)", "\n")
-    t = F.regexp_replace(t, r"`[^`\n]+`|\$\$[^$]{1,2000}\$\$", " § ")
-    return F.regexp_replace(t, r"(?:^|(?<=[\s(—:]))[\"“„][^\"“”„\n]{1,200}[\"”“](?=[\s.,;:!?)—]|$)", " § ")
+    t = _replace(text, text.contains("\r"), r"\r\n?", "\n")
+    t = _replace(t, t.contains("---\n"), r"(?s)\A\s*---\n.{0,4000}?\n---(?:\n|\z)", "\n")
+    fence = r"(?ms)^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[ \t]*$|\z)"
+    t = _replace(t, t.contains("```") | t.contains("~~~"), fence, "\n")
+    t = _replace(t, t.contains("`") | t.contains("$$"), r"`[^`\n]+`|\$\$[^$]{1,2000}\$\$", " § ")
+    quoted = r"[\"“„](?<=(?:^|[\s(—:：])[\"“„])[^\"“”„\n]{1,200}[\"”“](?=[\s.,;:!?)—]|$)"
+    return F.regexp_replace(t, quoted, " § ")
 
 
 def normal_line(line: Column) -> Column:
-    """A line as it is counted: lower case, digits as 0, hexadecimal codes as 0, white space collapsed."""
-    low = F.regexp_replace(F.lower(line), r"\b(?=\w*\d)[0-9a-f]{4,}\b|\d+", "0")
-    return F.trim(F.regexp_replace(low, r"\s+", " "))
-
-
-def _words(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit(r"[\p{L}\p{N}_]+|[?.]{2,}"), F.lit(0))
+    """A line as it is counted: a short one in lower case with digits as 0, a long one as it is."""
+    return F.when(F.length(line) <= MESSAGE_CHARS, F.regexp_replace(F.lower(line), r"[0-9]+", "0")).otherwise(line)
 
 
 def with_lines(docs: DataFrame, key: str, host: str) -> DataFrame:
-    """``key, host, lines, prose``; lines are trimmed, blank ones and headings dropped."""
-    text = prose(F.col("text"))
+    """``key, host, prose, lines``; lines are trimmed, blank ones and headings dropped."""
     rows = docs.filter(F.col("text").isNotNull()).select(
-        F.col(key), F.lower(trim_ws(F.coalesce(F.col(host), F.lit("")))).alias("host"), text.alias("prose")
+        F.col(key), F.lower(trim_ws(F.coalesce(F.col(host), F.lit("")))).alias("host"), prose(F.col("text")).alias("prose")
     )
     lines = F.filter(
-        F.transform(F.split("prose", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^#{1,6}(?:\s|$)")
+        F.transform(F.split("prose", "\n"), lambda x: F.trim(x)),
+        lambda x: (x != "") & ~(x.startswith("#") & x.rlike(r"^#{1,6}(?:\s|$)")),
     )
     return rows.withColumn("lines", lines)
 
 
-def boilerplate(rows: DataFrame, key: str) -> DataFrame:
+def boilerplate(rows: DataFrame) -> DataFrame:
     """``host, marks``: hashes of the normalised lines recurrent among the host's records.
 
     Counted over all records, folded map-side. A host has at most (lines of a record) / share such
@@ -136,27 +140,40 @@ def boilerplate(rows: DataFrame, key: str) -> DataFrame:
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("n_host"))
     lines = rows.select("host", F.explode(F.array_distinct(F.transform("lines", normal_line))).alias("line"))
+    short = F.when(F.length("line") <= MESSAGE_CHARS, F.col("line"))
     counted = (
-        lines.filter(~_evident(F.col("line")))
-        .select("host", F.xxhash64("line").alias("mark"))
-        .groupBy("host", "mark")
+        lines.select("host", F.xxhash64("line").alias("mark"), short.alias("line"))
+        .groupBy("host", "mark", "line")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= BOILERPLATE_LEAST)
     )
     return (
         counted.join(hosts, "host")
         .filter(F.col("n") >= F.col("n_host") * BOILERPLATE_SHARE)
+        .filter(~F.coalesce(_evident(F.col("line")), F.lit(False)))
         .groupBy("host")
         .agg(F.collect_list("mark").alias("marks"))
     )
 
 
-def _message(line: Column) -> Column:
-    return F.length(line) <= MESSAGE_CHARS
+def _evident(line: Column) -> Column:
+    return line.rlike(ERROR) | line.rlike(SCRIPT) | line.rlike(DUMMY) | line.rlike(PLACEHOLDER)
 
 
-def _evident(line: Column) -> Column:
-    return (_message(line) & (line.rlike(ERROR) | line.rlike(SCRIPT))) | line.rlike(DUMMY) | line.rlike(PLACEHOLDER)
+def _n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD))
+
+
+def _runs(text: Column) -> Column:
+    """Whether a text is, for four fifths, one phrase again and again.
+
+    The costly search runs only where the text repeats itself at a quarter, half or three quarters of its
+    length, as any text does that is one run.
+    """
+    n = F.length(text)
+    spots = [F.substring(text, (n * q / 4).cast("int"), F.lit(80)).rlike(r"(?s)^(.{1,24}?)\1\1") for q in (1, 2, 3)]
+    rest = F.length(F.regexp_replace(text, r"(?s)(.{1,24}?)\1{5,}", ""))
+    return (n >= 24) & (spots[0] | spots[1] | spots[2]) & (rest <= n * 0.2)
 
 
 def residues(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
@@ -168,51 +185,35 @@ def residues(docs: DataFrame, key: str = "doc_id", host: str = "source") -> Data
     is a ``placeholder``. Notes that show such things in code or quote them, short notes, null, empty and blank texts are no cases.
     """
     rows = with_lines(docs, key, host)
-    known = boilerplate(rows, key)
-    # only records that hold any evidence need their host's boilerplate
-    words = _words(F.lower(F.array_join("lines", " ")))
-    han = F.regexp_count("prose", F.lit(r"[一-鿿]"))
-    looked = rows.select(
+    marks = F.coalesce("marks", F.array().cast("array<bigint>"))
+    left = rows.join(boilerplate(rows), "host", "left").select(
         key,
-        "host",
-        "lines",
-        F.filter("lines", lambda x: _message(x) & (x.rlike(ERROR) | x.rlike(SCRIPT))).alias("messages"),
+        F.filter("lines", lambda x: ~F.array_contains(marks, F.xxhash64(normal_line(x)))).alias("left"),
+        F.array_join("lines", " ").alias("body"),
+        F.size("lines").alias("n_lines"),
         F.col("prose").rlike(PLACEHOLDER).alias("has_field"),
-        words.alias("words"),
-        han.alias("n_han"),
-    )
-    looked = looked.withColumn("n_words", F.size("words")).withColumn(
-        "n_mock", F.size(F.filter("words", lambda w: w.rlike(MOCK_LATIN) | w.rlike(MASH)))
-    )
-    squeezed = F.regexp_replace(F.array_join("lines", " "), r"\s+", "")
-    # one phrase again and again: what is left of the text once a phrase that follows itself is taken out
-    repeated = F.length(F.regexp_replace(squeezed, r"(.{1,24}?)\1{5,}", "")) <= 0.2 * F.length(squeezed)
-    dull = F.size("lines") > 0
-    filler = dull & (
-        ((F.col("n_words") >= 8) & (F.col("n_mock") >= 0.6 * F.col("n_words")))
-        | ((F.size("lines") >= 3) & F.forall("lines", lambda x: x.rlike(DUMMY)))
-        | ((F.length(squeezed) >= 24) & repeated)
-    )
-    suspects = looked.withColumn("is_filler", filler).filter(
-        (F.size("messages") > 0) | F.col("has_field") | F.col("is_filler")
+        ((F.size("lines") >= 3) & F.forall("lines", lambda x: x.rlike(DUMMY))).alias("dummy"),
     )
-    joined = suspects.join(known, "host", "left")
-    marks = F.coalesce("marks", F.array().cast("array<bigint>"))
-    beside = F.filter(
-        F.array_except("lines", "messages"), lambda x: ~F.array_contains(marks, F.xxhash64(normal_line(x)))
-    )
-    n_beside = F.size(_words(F.array_join(beside, " "))) + F.regexp_count(
-        F.array_join(beside, " "), F.lit(r"[一-鿿]")
+    n_mock = F.regexp_count("body", F.lit(MOCK))
+    filler = F.col("dummy") | _runs(F.col("body")) | ((n_mock >= 5) & (n_mock >= 0.6 * _n_words(F.col("body"))))
+
+    # words beside the messages; the patterns only run where no line is too long to be either
+    def is_message(x: Column) -> Column:
+        return (F.length(x) <= MESSAGE_CHARS) & (x.rlike(SCRIPT) | x.rlike(ERROR))
+
+    brief = (F.size("left") > 0) & F.forall(
+        "left", lambda x: (F.length(x) <= MESSAGE_CHARS) | (_n_words(x) <= BESIDE_WORDS)
     )
-    only_messages = (F.size("messages") > 0) & (n_beside <= BESIDE_WORDS)
-    scripts = F.size(F.filter("messages", lambda x: x.rlike(SCRIPT)))
+    others = F.array_join(F.filter("left", lambda x: ~is_message(x)), " ")
+    few = _n_words(others) + F.regexp_count(others, F.lit(HAN)) <= BESIDE_WORDS
+    n_messages = F.when(brief, F.when(few & F.exists("left", is_message), F.size(F.filter("left", is_message))))
+    n_scripts = F.size(F.filter("left", lambda x: x.rlike(SCRIPT)))
     kind = (
-        F.when(only_messages & (scripts * 2 >= F.size("messages")), F.lit(KINDS[0]))
-        .when(only_messages, F.lit(KINDS[1]))
-        .when(F.col("is_filler"), F.lit(KINDS[2]))
+        F.when(n_messages > 0, F.when(n_scripts * 2 >= n_messages, F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])))
+        .when(filler, F.lit(KINDS[2]))
         .when(F.col("has_field"), F.lit(KINDS[3]))
     )
-    return joined.select(key, kind.alias("kind")).filter(F.col("kind").isNotNull())
+    return left.select(key, kind.alias("kind")).filter(F.col("kind").isNotNull())
 
 
 def without_residue(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
