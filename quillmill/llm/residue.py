@@ -139,20 +139,26 @@ def boilerplate(rows: DataFrame) -> DataFrame:
     lines. Lines that are evidence themselves are never boilerplate.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("n_host"))
-    lines = rows.select("host", F.explode(F.array_distinct(F.transform("lines", normal_line))).alias("line"))
+    # explode_outer: explode would have the array built again for an inferred filter
+    lines = rows.select("host", F.explode_outer(F.array_distinct(F.transform("lines", normal_line))).alias("line"))
     short = F.when(F.length("line") <= MESSAGE_CHARS, F.col("line"))
     counted = (
-        lines.select("host", F.xxhash64("line").alias("mark"), short.alias("line"))
+        lines.filter(F.col("line").isNotNull()).select("host", F.xxhash64("line").alias("mark"), short.alias("line"))
         .groupBy("host", "mark", "line")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= BOILERPLATE_LEAST)
     )
+    often = counted.join(hosts, "host").filter(F.col("n") >= F.col("n_host") * BOILERPLATE_SHARE)
+    # on the folded array, so that the patterns run on the recurrent lines only, not below the count
     return (
-        counted.join(hosts, "host")
-        .filter(F.col("n") >= F.col("n_host") * BOILERPLATE_SHARE)
-        .filter(~F.coalesce(_evident(F.col("line")), F.lit(False)))
-        .groupBy("host")
-        .agg(F.collect_list("mark").alias("marks"))
+        often.groupBy("host")
+        .agg(F.collect_list(F.struct("mark", "line")).alias("found"))
+        .select(
+            "host",
+            F.transform(
+                F.filter("found", lambda x: ~F.coalesce(_evident(x["line"]), F.lit(False))), lambda x: x["mark"]
+            ).alias("marks"),
+        )
     )
 
 
@@ -197,23 +203,32 @@ def residues(docs: DataFrame, key: str = "doc_id", host: str = "source") -> Data
     n_mock = F.regexp_count("body", F.lit(MOCK))
     filler = F.col("dummy") | _runs(F.col("body")) | ((n_mock >= 5) & (n_mock >= 0.6 * _n_words(F.col("body"))))
 
-    # words beside the messages; the patterns only run where no line is too long to be either
+    # the patterns only run where no line is too long to be either a message or a few words
     def is_message(x: Column) -> Column:
         return (F.length(x) <= MESSAGE_CHARS) & (x.rlike(SCRIPT) | x.rlike(ERROR))
 
     brief = (F.size("left") > 0) & F.forall(
         "left", lambda x: (F.length(x) <= MESSAGE_CHARS) | (_n_words(x) <= BESIDE_WORDS)
     )
-    others = F.array_join(F.filter("left", lambda x: ~is_message(x)), " ")
-    few = _n_words(others) + F.regexp_count(others, F.lit(HAN)) <= BESIDE_WORDS
-    n_messages = F.when(brief, F.when(few & F.exists("left", is_message), F.size(F.filter("left", is_message))))
-    n_scripts = F.size(F.filter("left", lambda x: x.rlike(SCRIPT)))
+    judged = left.select(
+        key,
+        "left",
+        filler.alias("is_filler"),
+        "has_field",
+        F.when(brief, F.filter("left", is_message)).alias("messages"),
+    )
+    others = F.array_join(F.array_except("left", "messages"), " ")
+    only_messages = F.when(
+        F.size("messages") > 0, _n_words(others) + F.regexp_count(others, F.lit(HAN)) <= BESIDE_WORDS
+    ).otherwise(F.lit(False))
+    n_scripts = F.size(F.filter("messages", lambda x: x.rlike(SCRIPT)))
     kind = (
-        F.when(n_messages > 0, F.when(n_scripts * 2 >= n_messages, F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])))
-        .when(filler, F.lit(KINDS[2]))
+        F.when(only_messages, F.when(n_scripts * 2 >= F.size("messages"), F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])))
+        .when(F.col("is_filler"), F.lit(KINDS[2]))
         .when(F.col("has_field"), F.lit(KINDS[3]))
     )
-    return left.select(key, kind.alias("kind")).filter(F.col("kind").isNotNull())
+    # a filter on a generated column stays where it is; pushed down, it would be evaluated from the text anew
+    return judged.select(key, F.explode_outer(F.array(kind)).alias("kind")).filter(F.col("kind").isNotNull())
 
 
 def without_residue(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
