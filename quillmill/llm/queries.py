@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, mix, residue, split
+from quillmill.functions.text import trim_ws
+from quillmill.llm import bpe, langid, mix, residue, split
 from quillmill.runtime import read_table
 
 
@@ -19,6 +20,36 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter(F.col("n_pieces") > 1).dropDuplicates(["chunk_id", "piece", "text"])
 
 
+def labelled(spark: SparkSession, d: str) -> list[DataFrame]:
+    """``key, label, text`` of both tables of texts."""
+    chunks = read_table(spark, d, "chunks").select(trim_ws("id").alias("key"), F.col("lang").alias("label"), "text")
+    chat = read_table(spark, d, "chat_messages").select(
+        F.col("msg_id").cast("string").alias("key"), F.col("lang").alias("label"), "text"
+    )
+    return [chunks, chat]
+
+
+def _of_records(spark: SparkSession, d: str, operator) -> DataFrame:
+    chunks, chat = labelled(spark, d)
+    model = langid.fit([chunks, chat])
+    return operator(chunks, model).select(F.lit("chunks").alias("rec_table"), "*").unionByName(
+        operator(chat, model).select(F.lit("chat_messages").alias("rec_table"), "*")
+    ).withColumnRenamed("key", "rec_key")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _of_records(spark, d, lambda rows, m: langid.mislabelled(langid.languages(rows, m))).distinct()
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    rows = _of_records(spark, d, langid.languages)
+    return rows.select("rec_table", "rec_key", "label", "lang", F.round("confidence", 6).alias("confidence"), "langs")
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _of_records(spark, d, langid.segments)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(read_table(spark, d, "documents"))
 
@@ -42,6 +73,9 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_languages": p2_languages,
+    "p2_segments": p2_segments,
     "p7_ids": p7_ids,
     "p8_shares": p8_shares,
     "p8_mix": p8_mix,
