@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import trim_ws
-from quillmill.llm import bpe, langid, mix, residue, split
+from quillmill.llm import bpe, langid, mix, pairs, residue, split
 from quillmill.runtime import read_table
 
 
@@ -50,6 +50,16 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return _of_records(spark, d, langid.segments)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    model = langid.fit(labelled(spark, d)[1:])
+    found = pairs.question_answer_pairs(read_table(spark, d, "chat_messages"))
+    return pairs.defects(found, pairs.fit(found, model)).distinct()
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.question_answer_pairs(read_table(spark, d, "chat_messages"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(read_table(spark, d, "documents"))
 
@@ -76,6 +86,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_languages": p2_languages,
     "p2_segments": p2_segments,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
     "p7_ids": p7_ids,
     "p8_shares": p8_shares,
     "p8_mix": p8_mix,
@@ -93,6 +105,15 @@ FROM chunks LEFT JOIN index_settings s
   ON position('/' IN file_path) > 0 AND s.folder = split_part(file_path, '/', 1)
 WHERE length(regexp_replace(text, '^[ \\t\\r\\n\\x{{00A0}}\\x{{3000}}]+|[ \\t\\r\\n\\x{{00A0}}\\x{{3000}}]+$', '', 'g'))
   > coalesce(s.chunk_size, 600)""",
+    "p3_pairs": """
+WITH m AS (
+  SELECT DISTINCT ON (conv_id, seq, msg_id) conv_id, seq, msg_id, lower(trim(role)) AS role, text FROM chat_messages
+  WHERE lower(trim(role)) IN ('user', 'assistant')
+), n AS (
+  SELECT *, lead(msg_id) OVER w AS aid, lead(role) OVER w AS arole, lead(text) OVER w AS answer
+  FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY seq, msg_id)
+)
+SELECT msg_id AS question_id, aid AS answer_id, text AS question, answer FROM n WHERE role = 'user' AND arole = 'assistant'""",
 }
 
 
