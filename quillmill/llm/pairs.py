@@ -15,7 +15,7 @@ from quillmill.llm import langid
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 # The classifier is fitted on at most so many pairs, those with the smallest hashes.
-SAMPLE_PAIRS = 4000
+SAMPLE_PAIRS = 2000
 # Places for hashed n-grams.
 PLACES = 1 << 13
 # Messages of a conversation are paired in stretches of so many places, so that a long one is no single task.
@@ -86,7 +86,7 @@ _REFUSALS = {
     "en": (
         "I'm sorry, but I can't help with that request.", "I would rather not comment on {x}.", "I'd prefer to leave {x} out of our conversation.",
         "I am not able to answer questions about {x}, as this goes beyond what I may discuss.", "I cannot share an answer here.",
-        "Unfortunately, it isn't possible for me to give an answer here.", "As an assistant I must decline this request.", "I won't discuss {x}.",
+        "Unfortunately, it isn't possible for me to give an answer here.", "As an assistant I must decline to go into this topic. Please ask somebody who is qualified.", "I won't discuss {x}.",
     ),
     "de": (
         "Es tut mir leid, aber dabei kann ich nicht helfen.", "Über {x} möchte ich lieber nicht sprechen.", "Dazu kann ich leider nichts sagen.",
@@ -183,12 +183,21 @@ def _overlap(q: list[str], a: list[str]) -> tuple[float, ...]:
     )
 
 
+def said(a: str) -> str:
+    """What an answer says itself: without quoted lines and phrases, unless nothing else is left."""
+    rest = re.sub(r"(?m)^[ \t]*>.*$", " ", a)
+    rest = langid._QUOTED.sub(" ", rest) if any(c in rest for c in "\"“„«「『") else rest
+    return rest if any(c.isalnum() for c in rest) else a
+
+
 def pair_features(q: str, a: str, lang_q: tuple, lang_a: tuple) -> tuple[list[float], list[int]]:
     """Dense features and places of the hashed n-grams of a pair; ``lang_*`` are results of the language model."""
     wq, wa = _WORD.findall(q.lower()), _WORD.findall(a.lower())
     content = sum(c.isalnum() for c in a)
     bare = a.strip().strip("*_# ")
-    other = bool(lang_a[0]) and bool(lang_q[2]) and not set(lang_a[2]) & set(lang_q[2])
+    # a few Latin words tell no language; Han characters do
+    telling = len(wa) >= 6 or any("一" <= w <= "鿿" for w in wa) != any("一" <= w <= "鿿" for w in wq)
+    other = telling and bool(lang_a[0]) and bool(lang_q[2]) and not set(lang_a[2]) & set(lang_q[2])
     asked = bool(_LANGUAGE_NAME.search(q)) and bool(_ASKS.search(q))
     dense = [
         1.0,
@@ -203,7 +212,8 @@ def pair_features(q: str, a: str, lang_q: tuple, lang_a: tuple) -> tuple[list[fl
         float(other and not asked and lang_a[1] > 0.9 and len(wa) >= 3),
         float(asked),
     ]
-    grams = [*wa, *(f"{x} {y}" for x, y in zip(wa, wa[1:])), *(f"{x} {y} {z}" for x, y, z in zip(wa, wa[1:], wa[2:]))]
+    own = _WORD.findall(said(a).lower())
+    grams = [*own, *(f"{x} {y}" for x, y in zip(own, own[1:])), *(f"{x} {y} {z}" for x, y, z in zip(own, own[1:], own[2:]))]
     return dense, [_place(g) for g in grams]
 
 
@@ -265,7 +275,8 @@ def synthetic(pairs: list[tuple[str, str]], langs: list[str], rnd: random.Random
             parts.insert(0, rnd.choice(_SOFTENERS[lang]))
         if rnd.random() < 0.5:
             parts.append(rnd.choice(_SOFTENERS[lang]))
-        out.append((q, ("" if lang == "zh" else " ").join(parts), "refusal"))
+        refusal = ("" if lang == "zh" else " ").join(parts)
+        out.append((q, rnd.choice((refusal, refusal, f"> {q}\n\n{refusal}", f"{name}: {refusal}")), "refusal"))
         forms = (q, q.upper(), q.lower(), f"> {q}\n", f"**{q}**", q.rstrip("?？ ") + rnd.choice((".", "…", "", "?")), "  ".join(q.lower().split()) + "…", _drop_words(q, rnd), q + "\n", f'"{q}"')
         if q.strip():
             out.append((q, rnd.choice(forms), "copy"))
