@@ -84,31 +84,42 @@ _ASKS = re.compile(
 # The forms refusals take, by language; only to make training examples.
 _REFUSALS = {
     "en": (
+        "This is something I won't assist with, even though I understand why you are asking.", "There is nothing I am allowed to tell you about this.",
+        "My guidelines keep me from responding to this one. Is there something else you would like to know?",
         "I'm sorry, but I can't help with that request.", "I would rather not comment on {x}.", "I'd prefer to leave {x} out of our conversation.",
         "I am not able to answer questions about {x}, as this goes beyond what I may discuss.", "I cannot share an answer here.",
         "Unfortunately, it isn't possible for me to give an answer here.", "As an assistant I must decline to go into this topic. Please ask somebody who is qualified.", "I won't discuss {x}.",
     ),
     "de": (
+        "Das unterstütze ich nicht, auch wenn ich den Wunsch verstehe.", "Darüber darf ich nichts sagen.",
+        "Meine Vorgaben erlauben mir keine Antwort darauf. Möchtest du etwas anderes wissen?",
         "Es tut mir leid, aber dabei kann ich nicht helfen.", "Über {x} möchte ich lieber nicht sprechen.", "Dazu kann ich leider nichts sagen.",
         "Leider ist es mir nicht möglich, hierauf eine Antwort zu geben.", "Als Assistent muss ich diese Anfrage leider ablehnen.",
         "Fragen zu {x} kann ich nicht beantworten, das geht über das hinaus, was ich besprechen darf.", "zu {x} möchte ich mich nicht äußern.",
     ),
     "fr": (
+        "C'est une demande à laquelle je ne donnerai pas suite, même si je la comprends.", "Il ne m'est pas permis de parler de {x}, cela dépasse mon cadre.",
+        "Mes règles m'empêchent de répondre à cela. Souhaitez-vous savoir autre chose ?", "En tant qu'assistant, je dois refuser cette question. Adressez-vous à une personne compétente.",
         "Je suis désolé, mais je ne peux pas vous aider sur ce point.", "Je préfère ne rien dire sur {x}.", "Il m'est impossible de donner une réponse ici.",
         "Malheureusement, je ne peux pas répondre à cette demande.", "En tant qu'assistant, je dois refuser cette demande.",
         "Je ne suis pas en mesure de répondre aux questions sur {x}, cela dépasse ce dont je peux parler.", "Je préférerais laisser {x} en dehors de notre conversation.",
     ),
     "es": (
+        "Es algo en lo que no voy a colaborar, aunque entiendo tu interés.", "No se me permite hablar de {x}, va más allá de mi tarea.",
+        "Mis normas me impiden responder a esto. ¿Quieres saber otra cosa?", "Por desgracia me resulta imposible dar aquí una respuesta; prefiero no opinar sobre {x}.",
         "Lo siento, pero no puedo ayudarte con eso.", "Prefiero no opinar sobre {x}.", "Por desgracia, no me es posible dar una respuesta aquí.",
         "Como asistente debo rechazar esta petición.", "No puedo responder preguntas sobre {x}, va más allá de lo que puedo comentar.",
         "Preferiría dejar {x} fuera de nuestra conversación.", "Prefiero no hablar de {x}.",
     ),
     "pt": (
+        "Nisso eu não vou colaborar, embora entenda o motivo do pedido.", "Não me é permitido falar sobre {x}, isso vai além da minha tarefa.",
+        "As minhas regras impedem-me de responder a isto. Quer saber outra coisa?", "Como assistente, devo recusar esta pergunta. Procure uma pessoa qualificada.",
         "Desculpe, mas não posso ajudar com esse pedido.", "Prefiro não opinar sobre {x}.", "Infelizmente, não me é possível dar uma resposta aqui.",
         "Como assistente, tenho de recusar este pedido.", "Não posso responder a perguntas sobre {x}, isso vai além do que posso comentar.",
         "Prefiro deixar {x} fora da nossa conversa.", "Lamento, mas não posso ajudar com isso.",
     ),
     "zh": (
+        "虽然我理解你的想法，但这件事我不会协助。", "关于{x}，我不被允许说明。", "我的准则不允许我回答这个问题。你还想了解别的吗？", "作为助手，我必须拒绝这个请求，请咨询专业人士。",
         "很抱歉，这个问题我无法提供帮助。", "关于{x}的内容超出了我可以讨论的范围，恕我不能回答。", "我不方便谈论{x}。", "对不起，我不能回答这个问题。",
         "作为助手，我只能拒绝这个请求。", "恕我不便对{x}发表看法。", "很遗憾，这里我无法给出回答。",
     ),
@@ -122,6 +133,11 @@ _SOFTENERS = {
     "pt": ("Quero ser claro.", "Espero que compreenda.", "Sei que isto é importante para você.", "Pode me perguntar sobre as suas outras notas.", "Talvez um especialista possa ajudar."),
     "zh": ("我想直接说明。", "希望你能理解。", "你可以问我其他笔记的内容。", "我明白这对你很重要。", "也许可以请专业人士看看。"),
 }
+# Short but complete answers.
+_SHORT = {
+    "en": ("Yes.", "No.", "Only once.", "No, not yet.", "On Monday."), "de": ("Ja.", "Nein.", "Nur einmal.", "Nein, noch nicht."), "fr": ("Oui.", "Non.", "Une seule fois.", "Non, pas encore."),
+    "es": ("Sí.", "No.", "Solo una vez.", "No, todavía no."), "pt": ("Sim.", "Não.", "Só uma vez.", "Não, ainda não."), "zh": ("是的。", "不是。", "只有一次。", "还没有。"),
+}
 _EMPTY = ("", " ", "\n", " \t", "​", "...", "…", "-", "- \n- ", "```\n```", "\n\n", "***", "**", "> ", "| |", "—", "#", "()", "[]", "•")
 _LABELS = {
     "en": ("Answer:", "Response:"), "de": ("Antwort:",), "fr": ("Réponse :", "Réponse:"), "es": ("Respuesta:",), "pt": ("Resposta:",), "zh": ("回答：", "答：", "答复："),
@@ -280,6 +296,8 @@ def synthetic(pairs: list[tuple[str, str]], langs: list[str], rnd: random.Random
         forms = (q, q.upper(), q.lower(), f"> {q}\n", f"**{q}**", q.rstrip("?？ ") + rnd.choice((".", "…", "", "?")), "  ".join(q.lower().split()) + "…", _drop_words(q, rnd), q + "\n", f'"{q}"')
         if q.strip():
             out.append((q, rnd.choice(forms), "copy"))
+        if rnd.random() < 0.3:
+            out.append((q, rnd.choice(_SHORT[lang]), ""))
         others = [x for x in by_lang if x != lang]
         if others and not _LANGUAGE_NAME.search(q):
             out.append((q, rnd.choice(by_lang[rnd.choice(others)]), "wrong_language"))
