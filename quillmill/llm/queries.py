@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import trim_ws
-from quillmill.llm import bpe, langid, mix, pairs, residue, split
+from quillmill.llm import bpe, knn, langid, mix, pairs, residue, split
 from quillmill.runtime import read_table
 
 
@@ -60,6 +60,23 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.question_answer_pairs(read_table(spark, d, "chat_messages"))
 
 
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return knn.unit_rows(knn.usable_vectors(read_table(spark, d, "chunk_vectors"), "chunk_id", "vector", "embedded_at", 64))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = knn.mutual_pairs(_units(spark, d), 5, 0.92)
+    return found.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of every hundredth vector (by the hash of its id), against all."""
+    units = _units(spark, d)
+    return knn.nearest(units.filter(F.pmod(F.xxhash64("key"), F.lit(100)) == 0), units, 5).select(
+        F.col("key").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round("similarity", 6).alias("similarity")
+    )
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(read_table(spark, d, "documents"))
 
@@ -88,6 +105,8 @@ QUERIES = {
     "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p7_ids": p7_ids,
     "p8_shares": p8_shares,
     "p8_mix": p8_mix,
