@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import trim_ws
-from quillmill.llm import bpe, knn, langid, mix, pairs, residue, split
+from quillmill.llm import bpe, knn, langid, mix, neardup, pairs, residue, split
 from quillmill.runtime import read_table
 
 
@@ -60,6 +60,20 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.question_answer_pairs(read_table(spark, d, "chat_messages"))
 
 
+def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(read_table(spark, d, "chunks").select(trim_ws("id").alias("key"), "text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).key_pairs().select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).groups().select(
+        F.col("key").alias("chunk_id"), F.col("group").alias("group_id"), "n_copies", "n_links"
+    )
+
+
 def _units(spark: SparkSession, d: str) -> DataFrame:
     return knn.unit_rows(knn.usable_vectors(read_table(spark, d, "chunk_vectors"), "chunk_id", "vector", "embedded_at", 64))
 
@@ -105,6 +119,8 @@ QUERIES = {
     "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
     "p7_ids": p7_ids,
