@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from quillmill.runtime import stage
 
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
-# Buckets of the frequency sketch that orders the n-grams, and bits of a record's parity bitmap.
-SKETCH_BITS, BITMAP = 20, 256
+# Buckets of the frequency sketch that orders the n-grams.
+SKETCH_BITS = 20
+# Classes of pairs by the size of the smaller record: over so many n-grams, with parity bitmaps of so many bits.
+CLASSES = ((0, 256), (128, 1024), (512, 2048))
 # Fragments of the global order in which a candidate pair's overlap is counted.
 FRAGMENTS = 4
 # Copies up to so many are given pair by pair; of larger groups each copy is linked to the first.
@@ -114,13 +116,14 @@ def _least_overlap(a, b, t: float):
     return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def postings(texts: DataFrame, sketch, t: float) -> DataFrame:
-    """``gram, id, n, pos, b0..b3``: the head of each record in the global order, rare n-grams first.
+def postings(texts: DataFrame, sketch, t: float, least: int, most: int | None, bits: int) -> DataFrame:
+    """``gram, id, n, pos, b0, b1...``: the head of each record in the global order, rare n-grams first.
 
-    The head is long enough for the record as the larger of a pair: a similar pair shares an n-gram in it. The bitmap
-    holds the parity of the n-grams by hash, from which a join row bounds a pair's overlap.
+    For records of ``least < n <= most``. The head is long enough for the record as the larger of a pair: a similar pair shares an
+    n-gram in it. The bitmap holds the parity of the n-grams by hash, from which a join row bounds a pair's overlap.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)  # one byte for each bucket
+    words = [f"b{i}" for i in range(bits // 64)]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -128,16 +131,16 @@ def postings(texts: DataFrame, sketch, t: float) -> DataFrame:
 
         counts = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 lists = part.column(1)
                 n = lists.value_lengths().to_numpy().astype(np.int64)
                 g = lists.flatten().to_numpy().view(np.uint64)
                 o = np.repeat(np.arange(len(n)), n)
                 rank = counts[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((g, rank, o))
-                g, bits = g[order], (g >> np.uint64(20)) & np.uint64(BITMAP - 1)
-                parity = np.bincount(o * BITMAP + bits.astype(np.int64), minlength=len(n) * BITMAP).reshape(len(n), BITMAP) & 1
+                g = g[np.lexsort((g, rank, o))]
+                bit = ((g >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+                parity = np.bincount(o * bits + bit, minlength=len(n) * bits).reshape(len(n), bits) & 1
                 maps = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
                 pos = np.arange(len(g)) - np.repeat(starts, n)
@@ -149,40 +152,49 @@ def postings(texts: DataFrame, sketch, t: float) -> DataFrame:
                         part.column(0).take(pa.array(o[keep])),
                         pa.array(n[o[keep]].astype(np.int32)),
                         pa.array(pos[keep].astype(np.int32)),
-                        *(pa.array(maps[o[keep], i]) for i in range(BITMAP // 64)),
+                        *(pa.array(maps[o[keep], i]) for i in range(len(words))),
                     ],
-                    ["gram", "id", "n", "pos", "b0", "b1", "b2", "b3"],
+                    ["gram", "id", "n", "pos", *words],
                 )
 
-    return texts.select("id", "grams").mapInArrow(
-        run, "gram bigint, id bigint, n int, pos int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    sizes = F.size("grams") > least
+    if most is not None:
+        sizes &= F.size("grams") <= most
+    return texts.filter(sizes).select("id", "grams").mapInArrow(
+        run, "gram bigint, id bigint, n int, pos int, " + ", ".join(f"{w} bigint" for w in words)
     )
 
 
-def candidates(heads: DataFrame, t: float) -> DataFrame:
+def candidates(texts: DataFrame, sketch, t: float) -> DataFrame:
     """``a, b``: pairs that share an n-gram of their heads and whose sizes, places and bitmaps allow the similarity.
 
     ``a`` is the smaller record; of it only the shorter head counts that the smaller of a pair needs. No pair that reaches the
-    similarity is left out: each test bounds its overlap from above.
+    similarity is left out: each test bounds its overlap from above. Larger records need larger bitmaps for the bound
+    to be of use, so pairs are joined by classes of the smaller one's size.
     """
-    s, x = heads.alias("s"), heads.alias("x")
-    n_s, n_x = F.col("s.n"), F.col("x.n")
-    need = _least_overlap(n_s, n_x, t)
-    differ = sum(
-        (F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"x.b{i}"))) for i in range(1, BITMAP // 64)),
-        F.bit_count(F.col("s.b0").bitwiseXOR(F.col("x.b0"))),
-    )
-    short_head = n_s - F.ceil(n_s * (2 * t / (1 + t)) - 1e-9) + 1
-    rows = s.join(
-        x,
-        (F.col("s.gram") == F.col("x.gram"))
-        & ((n_s < n_x) | ((n_s == n_x) & (F.col("s.id") < F.col("x.id"))))
-        & (F.col("s.pos") < short_head)
-        & (n_s >= n_x * t)
-        & (F.least(n_s - F.col("s.pos"), n_x - F.col("x.pos")) >= need)
-        & (n_s + n_x - differ >= 2 * need),
-    )
-    return rows.select(F.col("s.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    out = None
+    for k, (least, bits) in enumerate(CLASSES):
+        next_least = CLASSES[k + 1][0] if k + 1 < len(CLASSES) else None
+        heads = postings(texts, sketch, t, least, None if next_least is None else int(next_least / t), bits)
+        s, x = heads.alias("s"), heads.alias("x")
+        n_s, n_x = F.col("s.n"), F.col("x.n")
+        need = _least_overlap(n_s, n_x, t)
+        differ = F.lit(0)
+        for i in range(bits // 64):
+            differ = differ + F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"x.b{i}")))
+        short_head = n_s - F.ceil(n_s * (2 * t / (1 + t)) - 1e-9) + 1
+        rows = s.join(
+            x,
+            (F.col("s.gram") == F.col("x.gram"))
+            & ((n_s < n_x) | ((n_s == n_x) & (F.col("s.id") < F.col("x.id"))))
+            & (F.col("s.pos") < short_head)
+            & (n_s >= n_x * t)
+            & ((n_s <= next_least) if next_least is not None else F.lit(True))
+            & (F.least(n_s - F.col("s.pos"), n_x - F.col("x.pos")) >= need)
+            & (n_s + n_x - differ >= 2 * need),
+        ).select(F.col("s.id").alias("a"), F.col("x.id").alias("b"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
 
 
 def fragment_overlaps(pairs: DataFrame, texts: DataFrame, sketch, t: float) -> DataFrame:
@@ -258,7 +270,7 @@ class NearDuplicates:
             grams.join(chosen, ["id", "key"], "left_semi").select("id", "grams").dropDuplicates(["id"]), "texts"
         )
         sketch = frequency_sketch(self.texts)
-        found = candidates(postings(self.texts, sketch, similarity), similarity)
+        found = candidates(self.texts, sketch, similarity)
         self.pairs = stage(fragment_overlaps(stage(found, "candidates"), self.texts, sketch, similarity), "similar")
 
     def key_pairs(self) -> DataFrame:
