@@ -13,8 +13,12 @@ from quillmill.runtime import stage
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
 # Buckets of the frequency sketch that orders the n-grams.
 SKETCH_BITS = 20
-# Classes of pairs by the size of the smaller record: over so many n-grams, with parity bitmaps of so many bits.
-CLASSES = ((0, 256), (128, 1024), (512, 2048))
+# Records of up to so many n-grams are joined whole with a bitmap of so many bits, larger ones with the larger bitmap. Those of more
+# than FRAGMENT_FROM n-grams are cut into 4 fragments of the hash space, of twice as many into 8, and so on.
+SMALL, SMALL_BITS, LARGE_BITS = 128, 256, 1024
+FRAGMENT_FROM = 512
+# Up to so many ids are broadcast to pick rows; beyond, the rows are shuffled.
+BROADCAST_IDS = 200_000
 # Fragments of the global order in which a candidate pair's overlap is counted.
 FRAGMENTS = 4
 # Copies up to so many are given pair by pair; of larger groups each copy is linked to the first.
@@ -116,15 +120,56 @@ def _least_overlap(a, b, t: float):
     return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def postings(texts: DataFrame, sketch, t: float, least: int, most: int | None, bits: int) -> DataFrame:
-    """``gram, id, n, pos, b0, b1...``: the head of each record in the global order, rare n-grams first.
+def _classes(longest: int) -> list[tuple[int, int, int]]:
+    """(over, up to, fragments) of the size classes of large records."""
+    out, over, parts = [(SMALL, FRAGMENT_FROM, 1)], FRAGMENT_FROM, 4
+    while over < longest:
+        out.append((over, over * 2, parts))
+        over, parts = over * 2, parts * 2
+    return out
 
-    For records of ``least < n <= most``. The head is long enough for the record as the larger of a pair: a similar pair shares an
-    n-gram in it. The bitmap holds the parity of the n-grams by hash, from which a join row bounds a pair's overlap.
+
+def postings(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
+    """``gram, id, n, pos, b0, b1...``: the head of each record, or of each of its fragments, rare n-grams first.
+
+    The head is long enough for the record as the larger of a pair: a similar pair shares an n-gram in it. The bitmap holds the
+    parity of the n-grams by hash, from which a join row bounds a pair's overlap. Of a pair of large records the n-gram overlaps
+    in the fragments sum to the pair's, so in one fragment at least the similarity is reached: each fragment is
+    a record of its own here. A record belongs to its size class, and to the class below if a smaller partner may lie there.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)  # one byte for each bucket
+    bits = LARGE_BITS if large else SMALL_BITS
     words = [f"b{i}" for i in range(bits // 64)]
 
+    def heads_of(ids, lists, counts, level: int, parts: int):
+        import numpy as np
+        import pyarrow as pa
+
+        whole = lists.value_lengths().to_numpy().astype(np.int64)
+        g = lists.flatten().to_numpy().view(np.uint64)
+        o = np.repeat(np.arange(len(whole)), whole) * parts + ((g >> np.uint64(8)) & np.uint64(parts - 1)).astype(np.int64)
+        rank = counts[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        order = np.lexsort((g, rank, o))
+        g, o = g[order], o[order]
+        n = np.bincount(o, minlength=len(whole) * parts)
+        bit = ((g >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+        parity = np.bincount(o * bits + bit, minlength=len(n) * bits).reshape(len(n), bits) & 1
+        maps = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
+        pos = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+        head = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
+        keep = np.flatnonzero(pos < head[o])
+        at = o[keep]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array((g[keep] ^ np.uint64(level)).view(np.int64)),
+                ids.take(pa.array(at // parts)),
+                pa.array(n[at].astype(np.int32)),
+                pa.array(pos[keep].astype(np.int32)),
+                *(pa.array(maps[at, i]) for i in range(len(words))),
+            ],
+            ["gram", "id", "n", "pos", *words],
+        )
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -133,70 +178,58 @@ def postings(texts: DataFrame, sketch, t: float, least: int, most: int | None, b
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lists = part.column(1)
-                n = lists.value_lengths().to_numpy().astype(np.int64)
-                g = lists.flatten().to_numpy().view(np.uint64)
-                o = np.repeat(np.arange(len(n)), n)
-                rank = counts[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                g = g[np.lexsort((g, rank, o))]
-                bit = ((g >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
-                parity = np.bincount(o * bits + bit, minlength=len(n) * bits).reshape(len(n), bits) & 1
-                maps = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-                pos = np.arange(len(g)) - np.repeat(starts, n)
-                head = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
-                keep = np.flatnonzero(pos < head[o])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(g[keep].view(np.int64)),
-                        part.column(0).take(pa.array(o[keep])),
-                        pa.array(n[o[keep]].astype(np.int32)),
-                        pa.array(pos[keep].astype(np.int32)),
-                        *(pa.array(maps[o[keep], i]) for i in range(len(words))),
-                    ],
-                    ["gram", "id", "n", "pos", *words],
-                )
-
-    sizes = F.size("grams") > least
-    if most is not None:
-        sizes &= F.size("grams") <= most
-    return texts.filter(sizes).select("id", "grams").mapInArrow(
+                sizes = part.column(1).value_lengths().to_numpy()
+                classes = _classes(int(sizes.max())) if large else [(0, SMALL, 1)]
+                for level, (over, upto, parts) in enumerate(classes):
+                    mine = np.flatnonzero((sizes > over) & (sizes * t <= upto))
+                    for i in range(0, len(mine), max(1, 1024 // parts)):
+                        rows = part.take(pa.array(mine[i : i + max(1, 1024 // parts)]))
+                        yield heads_of(rows.column(0), rows.column(1), counts, level, parts)
+
+    few = F.size("grams") > SMALL if large else F.size("grams") * t <= SMALL
+    return texts.filter(few).select("id", "grams").mapInArrow(
         run, "gram bigint, id bigint, n int, pos int, " + ", ".join(f"{w} bigint" for w in words)
     )
 
 
 def candidates(texts: DataFrame, sketch, t: float) -> DataFrame:
-    """``a, b``: pairs that share an n-gram of their heads and whose sizes, places and bitmaps allow the similarity.
+    """``a, b`` (``a < b``): pairs that share an n-gram of their heads and whose sizes, places and bitmaps allow the similarity.
 
-    ``a`` is the smaller record; of it only the shorter head counts that the smaller of a pair needs. No pair that reaches the
-    similarity is left out: each test bounds its overlap from above. Larger records need larger bitmaps for the bound
-    to be of use, so pairs are joined by classes of the smaller one's size.
+    Of the smaller of a pair only the shorter head counts that it needs. No pair that reaches the similarity is left
+    out: each test bounds the overlap from above.
     """
     out = None
-    for k, (least, bits) in enumerate(CLASSES):
-        next_least = CLASSES[k + 1][0] if k + 1 < len(CLASSES) else None
-        heads = postings(texts, sketch, t, least, None if next_least is None else int(next_least / t), bits)
+    for large in (False, True):
+        heads = postings(texts, sketch, t, large)
         s, x = heads.alias("s"), heads.alias("x")
         n_s, n_x = F.col("s.n"), F.col("x.n")
+        # tests of one side only are worded with both, so that both sides stay one and the same exchange
+        none = F.least(n_x, F.lit(0))
         need = _least_overlap(n_s, n_x, t)
         differ = F.lit(0)
-        for i in range(bits // 64):
+        for i in range((LARGE_BITS if large else SMALL_BITS) // 64):
             differ = differ + F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"x.b{i}")))
         short_head = n_s - F.ceil(n_s * (2 * t / (1 + t)) - 1e-9) + 1
         rows = s.join(
             x,
             (F.col("s.gram") == F.col("x.gram"))
             & ((n_s < n_x) | ((n_s == n_x) & (F.col("s.id") < F.col("x.id"))))
-            & (F.col("s.pos") < short_head)
+            & (F.col("s.pos") + none < short_head)
             & (n_s >= n_x * t)
-            & ((n_s <= next_least) if next_least is not None else F.lit(True))
+            & (F.lit(True) if large else n_s + none <= SMALL)
             & (F.least(n_s - F.col("s.pos"), n_x - F.col("x.pos")) >= need)
-            & (n_s + n_x - differ >= 2 * need),
-        ).select(F.col("s.id").alias("a"), F.col("x.id").alias("b"))
+            & (n_s + n_x - differ >= 2 * need)
+            & (F.col("s.id") != F.col("x.id")),
+        ).select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b"))
         out = rows if out is None else out.unionByName(rows)
     return out.distinct()
 
 
+def _pick(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi or anti join: by broadcast where the ids are few, counted first, else by shuffle."""
+    return rows.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, on, how)
+
+
 def fragment_overlaps(pairs: DataFrame, texts: DataFrame, sketch, t: float) -> DataFrame:
     """``a, b, similarity`` of the pairs that reach ``t``.
 
@@ -238,7 +271,7 @@ def fragment_overlaps(pairs: DataFrame, texts: DataFrame, sketch, t: float) -> D
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     parts = (
-        texts.join(named, "id", "left_semi")
+        _pick(texts, named, "id", "left_semi")
         .select("id", "grams")
         .mapInArrow(cut, "id bigint, n int, fragment int, part array<bigint>")
     )
@@ -260,15 +293,14 @@ class NearDuplicates:
 
     def __init__(self, rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS):
         self.similarity = similarity
-        grams = stage(shingled(rows, words, least_words), "grams")
-        keys = grams.select("id", "check", "key").groupBy("id", "check", "key").agg(F.lit(1).alias("_one"))
-        firsts = keys.groupBy("id", "check").agg(F.min("key").alias("first"), F.count("*").alias("n_copies"))
+        grams = stage(shingled(rows, words, least_words).withColumn("row", F.monotonically_increasing_id()), "grams")
+        keys = grams.groupBy("id", "check", "key").agg(F.min("row").alias("row"))
+        firsts = keys.groupBy("id", "check").agg(F.min("key").alias("first"), F.count("*").alias("n_copies"), F.min("row").alias("_row"))
         self.copies = keys.join(firsts, ["id", "check"]).select("id", "key", "first", "n_copies")
-        chosen = firsts.select("id", F.col("first").alias("key"))
-        # one row for each text: repeated rows of its first key are dropped by the hash of the set
-        self.texts = stage(
-            grams.join(chosen, ["id", "key"], "left_semi").select("id", "grams").dropDuplicates(["id"]), "texts"
-        )
+        # one row for each text; the other rows are the few to name
+        others = grams.select("id", "check", "row").join(firsts.select("id", "check", "_row"), ["id", "check"])
+        spare = stage(others.filter("row <> _row").select("row"), "spare")
+        self.texts = _pick(grams.select("row", "id", "grams"), spare, "row", "left_anti").select("id", "grams")
         sketch = frequency_sketch(self.texts)
         found = candidates(self.texts, sketch, similarity)
         self.pairs = stage(fragment_overlaps(stage(found, "candidates"), self.texts, sketch, similarity), "similar")

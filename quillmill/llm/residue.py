@@ -84,15 +84,15 @@ SCRIPT = (
 )
 # Stand-in words of lists, keyboard runs and mock Latin.
 DUMMY = r"(?iu)^(?:[-*+\s\[\]]*(?:\.{2,}|…|\?{2,}|x{3,}|foo|bar|baz|foo bar|bar baz|todo|tbd|tba|n/?a|test|lorem|[-–_]+)[\s.,;:]*)+$"
-MOCK = (
-    r"(?iu)(?<![\p{L}\p{N}])(?:l(?:orem|abor(?:e|is|um))|i(?:psum|ncididunt|rure)|d(?:olor\w*|uis|eserunt)|sed|sit|sint|sunt"
-    r"|s(?:idium|emper)|a(?:met|dip\w+|liqu(?:a|ip)|ute|nim|ltum)|con(?:sectetur|sequat|ditor)|c(?:ommodo|illum|upidatat|ulpa|arpis)"
-    r"|e(?:lit|iusmod|nim|sse|xcepteur|get)|t(?:empor|remio)|m(?:agna|inim|ollit|olenda)|v(?:eniam|elit|estal|elunt|arius)"
-    r"|qu(?:is|orin)|n(?:ostrud|isi|ull\w+)|ullamco|fu(?:gi\w+|gat)|ferrum|p(?:ariatur|roident|retor|ortis)|o(?:ccaecat|fficia)|brevis"
-    r"|asdf\w*|qwer\w*|jkl|zxcv\w*|hjkl\w*|sdfg\w*|xx+|test|bla|blah|foo|bar|baz|todo|tbd)(?![\p{L}\p{N}])"
+MOCK = frozenset(
+    "lorem ipsum dolor dolore dolorem sit amet consectetur adipiscing adipisicing adipisci adipens elit sed eiusmod tempor incididunt"
+    " labore laboris laborum magna aliqua aliquip enim minim veniam quis nostrud ullamco nisi commodo consequat duis aute irure velit"
+    " esse cillum fugiat fugit nulla nullam pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim"
+    " pretor sidium carpis vestal velunt quorin portis varius fugat conditor semper brevis altum molenda eget ferrum tremio"
+    " asdf asdfg asdfgh asdfghjkl qwer qwert qwerty qwertz jkl zxcv zxcvb hjkl sdf sdfg xx xxx xxxx test bla blah foo bar baz todo tbd".split()
 )
-WORD = r"[\p{L}\p{N}_]+|[?.]{2,}"
-HAN = r"[\u4E00-\u9FFF]"
+# A word, a Han character or a run of dots or question marks.
+WORD = r"[\p{L}\p{N}_&&[^\u4E00-\u9FFF]]+|[\u4E00-\u9FFF]|[?.]{2,}"
 KINDS = ("script_notice", "error_page", "filler", "placeholder")
 
 
@@ -196,21 +196,20 @@ def residues(docs: DataFrame, key: str = "doc_id", host: str = "source") -> Data
         key,
         F.filter("lines", lambda x: ~F.array_contains(marks, F.xxhash64(normal_line(x)))).alias("left"),
         F.array_join("lines", " ").alias("body"),
-        F.size("lines").alias("n_lines"),
         F.col("prose").rlike(PLACEHOLDER).alias("has_field"),
         ((F.size("lines") >= 3) & F.forall("lines", lambda x: x.rlike(DUMMY))).alias("dummy"),
     )
-    n_mock = F.regexp_count("body", F.lit(MOCK))
-    filler = F.col("dummy") | _runs(F.col("body")) | ((n_mock >= 5) & (n_mock >= 0.6 * _n_words(F.col("body"))))
+    words = F.split(F.lower("body"), r"[^\p{L}\p{N}]+")
+    n_mock = F.size(F.filter(words, lambda w: w.isin(*sorted(MOCK))))
+    # the count of words only where the cheaper one of stand-ins allows the kind
+    filler = F.col("dummy") | _runs(F.col("body")) | ((F.col("n_mock") >= 5) & (F.col("n_mock") >= 0.6 * _n_words(F.col("body"))))
 
-    # the patterns only run where no line is too long to be either a message or a few words
+    # the patterns run up to the first line that is neither a message nor a few words
     def is_message(x: Column) -> Column:
         return (F.length(x) <= MESSAGE_CHARS) & (x.rlike(SCRIPT) | x.rlike(ERROR))
 
-    brief = (F.size("left") > 0) & F.forall(
-        "left", lambda x: (F.length(x) <= MESSAGE_CHARS) | (_n_words(x) <= BESIDE_WORDS)
-    )
-    judged = left.select(
+    brief = (F.size("left") > 0) & F.forall("left", lambda x: (_n_words(x) <= BESIDE_WORDS) | is_message(x))
+    judged = left.withColumn("n_mock", n_mock).select(
         key,
         "left",
         filler.alias("is_filler"),
@@ -219,7 +218,7 @@ def residues(docs: DataFrame, key: str = "doc_id", host: str = "source") -> Data
     )
     others = F.array_join(F.array_except("left", "messages"), " ")
     only_messages = F.when(
-        F.size("messages") > 0, _n_words(others) + F.regexp_count(others, F.lit(HAN)) <= BESIDE_WORDS
+        F.size("messages") > 0, _n_words(others) <= BESIDE_WORDS
     ).otherwise(F.lit(False))
     n_scripts = F.size(F.filter("messages", lambda x: x.rlike(SCRIPT)))
     kind = (
