@@ -130,18 +130,18 @@ def _classes(longest: int) -> list[tuple[int, int, int]]:
 
 
 def postings(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
-    """``gram, id, n, pos, b0, b1...``: the head of each record, or of each of its fragments, rare n-grams first.
+    """``gram, id, n, pos, own, b0, b1...``: the head of each record, or of each of its fragments, rare n-grams first.
 
     The head is long enough for the record as the larger of a pair: a similar pair shares an n-gram in it. The bitmap holds the
     parity of the n-grams by hash, from which a join row bounds a pair's overlap. Of a pair of large records the n-gram overlaps
     in the fragments sum to the pair's, so in one fragment at least the similarity is reached: each fragment is
-    a record of its own here. A record belongs to its size class, and to the class below if a smaller partner may lie there.
+    a record of its own here. A record belongs to its size class (``own``), and to the class below if a smaller partner may lie there.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)  # one byte for each bucket
     bits = LARGE_BITS if large else SMALL_BITS
     words = [f"b{i}" for i in range(bits // 64)]
 
-    def heads_of(ids, lists, counts, level: int, parts: int):
+    def heads_of(ids, lists, counts, level: int, upto: int, parts: int):
         import numpy as np
         import pyarrow as pa
 
@@ -165,9 +165,10 @@ def postings(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
                 ids.take(pa.array(at // parts)),
                 pa.array(n[at].astype(np.int32)),
                 pa.array(pos[keep].astype(np.int32)),
+                pa.array(whole[at // parts] <= upto),
                 *(pa.array(maps[at, i]) for i in range(len(words))),
             ],
-            ["gram", "id", "n", "pos", *words],
+            ["gram", "id", "n", "pos", "own", *words],
         )
 
     def run(batches: Iterator) -> Iterator:
@@ -184,11 +185,11 @@ def postings(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
                     mine = np.flatnonzero((sizes > over) & (sizes * t <= upto))
                     for i in range(0, len(mine), max(1, 1024 // parts)):
                         rows = part.take(pa.array(mine[i : i + max(1, 1024 // parts)]))
-                        yield heads_of(rows.column(0), rows.column(1), counts, level, parts)
+                        yield heads_of(rows.column(0), rows.column(1), counts, level, upto, parts)
 
     few = F.size("grams") > SMALL if large else F.size("grams") * t <= SMALL
     return texts.filter(few).select("id", "grams").mapInArrow(
-        run, "gram bigint, id bigint, n int, pos int, " + ", ".join(f"{w} bigint" for w in words)
+        run, "gram bigint, id bigint, n int, pos int, own boolean, " + ", ".join(f"{w} bigint" for w in words)
     )
 
 
@@ -216,7 +217,7 @@ def candidates(texts: DataFrame, sketch, t: float) -> DataFrame:
             & ((n_s < n_x) | ((n_s == n_x) & (F.col("s.id") < F.col("x.id"))))
             & (F.col("s.pos") + none < short_head)
             & (n_s >= n_x * t)
-            & (F.lit(True) if large else n_s + none <= SMALL)
+            & (F.col("s.own") | F.col("x.own"))
             & (F.least(n_s - F.col("s.pos"), n_x - F.col("x.pos")) >= need)
             & (n_s + n_x - differ >= 2 * need)
             & (F.col("s.id") != F.col("x.id")),
