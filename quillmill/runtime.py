@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -57,7 +58,8 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a later stage reads the files, whichever executor was
-    lost meanwhile. The files go when the application ends.
+    lost meanwhile. The files go when the application ends. The shuffle files that led
+    to them are of no more use; they go once the driver's garbage is collected, so ask for that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{tag}-{uuid.uuid4().hex}"
@@ -65,4 +67,6 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    gc.collect()
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
