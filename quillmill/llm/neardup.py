@@ -193,37 +193,32 @@ def postings(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
     )
 
 
-def candidates(texts: DataFrame, sketch, t: float) -> DataFrame:
+def candidates(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
     """``a, b`` (``a < b``): pairs that share an n-gram of their heads and whose sizes, places and bitmaps allow the similarity.
 
     Of the smaller of a pair only the shorter head counts that it needs. No pair that reaches the similarity is left
     out: each test bounds the overlap from above.
     """
-    out = None
-    for large in (False, True):
-        heads = postings(texts, sketch, t, large)
-        s, x = heads.alias("s"), heads.alias("x")
-        n_s, n_x = F.col("s.n"), F.col("x.n")
-        # tests of one side only are worded with both, so that both sides stay one and the same exchange
-        none = F.least(n_x, F.lit(0))
-        need = _least_overlap(n_s, n_x, t)
-        differ = F.lit(0)
-        for i in range((LARGE_BITS if large else SMALL_BITS) // 64):
-            differ = differ + F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"x.b{i}")))
-        short_head = n_s - F.ceil(n_s * (2 * t / (1 + t)) - 1e-9) + 1
-        rows = s.join(
-            x,
-            (F.col("s.gram") == F.col("x.gram"))
-            & ((n_s < n_x) | ((n_s == n_x) & (F.col("s.id") < F.col("x.id"))))
-            & (F.col("s.pos") + none < short_head)
-            & (n_s >= n_x * t)
-            & (F.col("s.own") | F.col("x.own"))
-            & (F.least(n_s - F.col("s.pos"), n_x - F.col("x.pos")) >= need)
-            & (n_s + n_x - differ >= 2 * need)
-            & (F.col("s.id") != F.col("x.id")),
-        ).select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.distinct()
+    heads = postings(texts, sketch, t, large)
+    s, x = heads.alias("s"), heads.alias("x")
+    n_s, n_x = F.col("s.n"), F.col("x.n")
+    need = _least_overlap(n_s, n_x, t)
+    differ = F.lit(0)
+    for i in range((LARGE_BITS if large else SMALL_BITS) // 64):
+        differ = differ + F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"x.b{i}")))
+    short_head = n_s - F.ceil(n_s * (2 * t / (1 + t)) - 1e-9) + 1
+    rows = s.join(
+        x,
+        (F.col("s.gram") == F.col("x.gram"))
+        & ((n_s < n_x) | ((n_s == n_x) & (F.col("s.id") < F.col("x.id"))))
+        & (F.col("s.pos") < short_head)
+        & (n_s >= n_x * t)
+        & (F.col("s.own") | F.col("x.own"))
+        & (F.least(n_s - F.col("s.pos"), n_x - F.col("x.pos")) >= need)
+        & (n_s + n_x - differ >= 2 * need)
+        & (F.col("s.id") != F.col("x.id")),
+    )
+    return rows.select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b")).distinct()
 
 
 def _pick(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
@@ -303,8 +298,10 @@ class NearDuplicates:
         spare = stage(others.filter("row <> _row").select("row"), "spare")
         self.texts = _pick(grams.select("row", "id", "grams"), spare, "row", "left_anti").select("id", "grams")
         sketch = frequency_sketch(self.texts)
-        found = candidates(self.texts, sketch, similarity)
-        self.pairs = stage(fragment_overlaps(stage(found, "candidates"), self.texts, sketch, similarity), "similar")
+        # one after the other, so that the shuffle files of the first are gone by then
+        found = [stage(candidates(self.texts, sketch, similarity, large), "candidates") for large in (False, True)]
+        every = found[0].unionByName(found[1]).distinct()
+        self.pairs = stage(fragment_overlaps(every, self.texts, sketch, similarity), "similar")
 
     def key_pairs(self) -> DataFrame:
         """``a, b`` (``a < b``): pairs of keys, between similar texts and between copies.
