@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -59,14 +58,18 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts the lineage: a later stage reads the files, whichever executor was
     lost meanwhile. The files go when the application ends. The shuffle files that led
-    to them are of no more use; they go once the driver's garbage is collected, so ask for that.
+    to them are of no more use and go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    gc.collect()
-    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
