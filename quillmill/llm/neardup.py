@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ SKETCH_BITS = 20
 # than FRAGMENT_FROM n-grams are cut into 4 fragments of the hash space, of twice as many into 8, and so on.
 SMALL, SMALL_BITS, LARGE_BITS = 128, 256, 1024
 FRAGMENT_FROM = 512
+TIERS = 3
 # Up to so many ids are broadcast to pick rows; beyond, the rows are shuffled.
 BROADCAST_IDS = 200_000
 # Fragments of the global order in which a candidate pair's overlap is counted.
@@ -121,15 +123,15 @@ def _least_overlap(a, b, t: float):
 
 
 def _classes(longest: int) -> list[tuple[int, int, int]]:
-    """(over, up to, fragments) of the size classes of large records."""
-    out, over, parts = [(SMALL, FRAGMENT_FROM, 1)], FRAGMENT_FROM, 4
+    """(over, up to, fragments) of the size classes of records that are cut into fragments."""
+    out, over, parts = [], FRAGMENT_FROM, 4
     while over < longest:
         out.append((over, over * 2, parts))
         over, parts = over * 2, parts * 2
     return out
 
 
-def postings(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
+def postings(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
     """``gram, id, n, pos, own, b0, b1...``: the head of each record, or of each of its fragments, rare n-grams first.
 
     The head is long enough for the record as the larger of a pair: a similar pair shares an n-gram in it. The bitmap holds the
@@ -138,7 +140,8 @@ def postings(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
     a record of its own here. A record belongs to its size class (``own``), and to the class below if a smaller partner may lie there.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)  # one byte for each bucket
-    bits = LARGE_BITS if large else SMALL_BITS
+    bits = LARGE_BITS if tier else SMALL_BITS
+    whole_classes = [(0, SMALL, 1)], [(SMALL, FRAGMENT_FROM, 1)]
     words = [f"b{i}" for i in range(bits // 64)]
 
     def heads_of(ids, lists, counts, level: int, upto: int, parts: int):
@@ -180,31 +183,32 @@ def postings(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sizes = part.column(1).value_lengths().to_numpy()
-                classes = _classes(int(sizes.max())) if large else [(0, SMALL, 1)]
+                classes = whole_classes[tier] if tier < 2 else _classes(int(sizes.max()))
                 for level, (over, upto, parts) in enumerate(classes):
                     mine = np.flatnonzero((sizes > over) & (sizes * t <= upto))
                     for i in range(0, len(mine), max(1, 1024 // parts)):
                         rows = part.take(pa.array(mine[i : i + max(1, 1024 // parts)]))
                         yield heads_of(rows.column(0), rows.column(1), counts, level, upto, parts)
 
-    few = F.size("grams") > SMALL if large else F.size("grams") * t <= SMALL
-    return texts.filter(few).select("id", "grams").mapInArrow(
+    size = F.size("grams")
+    fits = (size * t <= SMALL, (size > SMALL) & (size * t <= FRAGMENT_FROM), size > FRAGMENT_FROM)[tier]
+    return texts.filter(fits).select("id", "grams").mapInArrow(
         run, "gram bigint, id bigint, n int, pos int, own boolean, " + ", ".join(f"{w} bigint" for w in words)
     )
 
 
-def candidates(texts: DataFrame, sketch, t: float, large: bool) -> DataFrame:
+def candidates(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
     """``a, b`` (``a < b``): pairs that share an n-gram of their heads and whose sizes, places and bitmaps allow the similarity.
 
     Of the smaller of a pair only the shorter head counts that it needs. No pair that reaches the similarity is left
     out: each test bounds the overlap from above.
     """
-    heads = postings(texts, sketch, t, large)
+    heads = postings(texts, sketch, t, tier)
     s, x = heads.alias("s"), heads.alias("x")
     n_s, n_x = F.col("s.n"), F.col("x.n")
     need = _least_overlap(n_s, n_x, t)
     differ = F.lit(0)
-    for i in range((LARGE_BITS if large else SMALL_BITS) // 64):
+    for i in range((LARGE_BITS if tier else SMALL_BITS) // 64):
         differ = differ + F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"x.b{i}")))
     short_head = n_s - F.ceil(n_s * (2 * t / (1 + t)) - 1e-9) + 1
     rows = s.join(
@@ -298,9 +302,9 @@ class NearDuplicates:
         spare = stage(others.filter("row <> _row").select("row"), "spare")
         self.texts = _pick(grams.select("row", "id", "grams"), spare, "row", "left_anti").select("id", "grams")
         sketch = frequency_sketch(self.texts)
-        # one after the other, so that the shuffle files of the first are gone by then
-        found = [stage(candidates(self.texts, sketch, similarity, large), "candidates") for large in (False, True)]
-        every = found[0].unionByName(found[1]).distinct()
+        # one after the other, so that the shuffle files of those before are gone by then
+        found = [stage(candidates(self.texts, sketch, similarity, tier), "candidates") for tier in range(TIERS)]
+        every = reduce(DataFrame.unionByName, found).distinct()
         self.pairs = stage(fragment_overlaps(every, self.texts, sketch, similarity), "similar")
 
     def key_pairs(self) -> DataFrame:
