@@ -72,4 +72,15 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._quillmill_path = path
+    return staged
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a staged table that nothing will read again."""
+    path = getattr(df, "_quillmill_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
