@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.runtime import stage
+from quillmill.runtime import stage, unstage
 
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
 # Buckets of the frequency sketch that orders the n-grams.
@@ -203,9 +203,11 @@ def candidates(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
     Of the smaller of a pair only the shorter head counts that it needs. No pair that reaches the similarity is left
     out: each test bounds the overlap from above.
     """
-    heads = postings(texts, sketch, t, tier)
+    staged = stage(postings(texts, sketch, t, tier), "heads")
+    heads = staged.dropna()  # no row has a null; both sides get the same filters, so that they share one exchange
     s, x = heads.alias("s"), heads.alias("x")
     n_s, n_x = F.col("s.n"), F.col("x.n")
+    none = F.least(n_x, F.lit(0))  # words a test of one side with both, so that it isn't pushed below the exchange
     need = _least_overlap(n_s, n_x, t)
     differ = F.lit(0)
     for i in range((LARGE_BITS if tier else SMALL_BITS) // 64):
@@ -215,14 +217,16 @@ def candidates(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
         x,
         (F.col("s.gram") == F.col("x.gram"))
         & ((n_s < n_x) | ((n_s == n_x) & (F.col("s.id") < F.col("x.id"))))
-        & (F.col("s.pos") < short_head)
+        & (F.col("s.pos") + none < short_head)
         & (n_s >= n_x * t)
         & (F.col("s.own") | F.col("x.own"))
         & (F.least(n_s - F.col("s.pos"), n_x - F.col("x.pos")) >= need)
         & (n_s + n_x - differ >= 2 * need)
         & (F.col("s.id") != F.col("x.id")),
     )
-    return rows.select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b")).distinct()
+    found = stage(rows.select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b")).distinct(), "candidates")
+    unstage(staged)
+    return found
 
 
 def _pick(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
@@ -303,7 +307,7 @@ class NearDuplicates:
         self.texts = _pick(grams.select("row", "id", "grams"), spare, "row", "left_anti").select("id", "grams")
         sketch = frequency_sketch(self.texts)
         # one after the other, so that the shuffle files of those before are gone by then
-        found = [stage(candidates(self.texts, sketch, similarity, tier), "candidates") for tier in range(TIERS)]
+        found = [candidates(self.texts, sketch, similarity, tier) for tier in range(TIERS)]
         every = reduce(DataFrame.unionByName, found).distinct()
         self.pairs = stage(fragment_overlaps(every, self.texts, sketch, similarity), "similar")
 
