@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIR}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+def stage(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a later stage reads the files, whichever executor was
@@ -66,7 +66,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(cleanup, before)
     jvm = spark.sparkContext._jvm
