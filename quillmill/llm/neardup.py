@@ -19,6 +19,8 @@ SKETCH_BITS = 20
 SMALL, SMALL_BITS, LARGE_BITS = 128, 256, 1024
 FRAGMENT_FROM = 512
 TIERS = 3
+# The heads are joined in so many passes, each over a part of the n-grams.
+PASSES = 2
 # Up to so many ids are broadcast to pick rows; beyond, the rows are shuffled.
 BROADCAST_IDS = 200_000
 # Fragments of the global order in which a candidate pair's overlap is counted.
@@ -203,8 +205,17 @@ def candidates(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
     Of the smaller of a pair only the shorter head counts that it needs. No pair that reaches the similarity is left
     out: each test bounds the overlap from above.
     """
-    staged = stage(postings(texts, sketch, t, tier), "heads")
-    heads = staged.dropna()  # no row has a null; both sides get the same filters, so that they share one exchange
+    staged = stage(postings(texts, sketch, t, tier), "heads", "zstd")
+    found = [stage(_joined(staged, t, tier, part), "candidates") for part in range(PASSES)]
+    unstage(staged)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _joined(staged: DataFrame, t: float, tier: int, part: int) -> DataFrame:
+    """The candidates by the n-grams of one part of the hash space, so that only a part is shuffled at a time."""
+    heads = staged.filter(F.pmod(F.shiftright("gram", 40), F.lit(PASSES)) == part)
+    # both sides get the same filters (no row has a null), so that they share one exchange
+    heads = heads.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in heads.columns]))
     s, x = heads.alias("s"), heads.alias("x")
     n_s, n_x = F.col("s.n"), F.col("x.n")
     none = F.least(n_x, F.lit(0))  # words a test of one side with both, so that it isn't pushed below the exchange
@@ -224,9 +235,7 @@ def candidates(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
         & (n_s + n_x - differ >= 2 * need)
         & (F.col("s.id") != F.col("x.id")),
     )
-    found = stage(rows.select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b")).distinct(), "candidates")
-    unstage(staged)
-    return found
+    return rows.select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b")).distinct()
 
 
 def _pick(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
