@@ -119,11 +119,6 @@ def frequency_sketch(texts: DataFrame):
     return np.minimum(255, np.round(8 * np.log2(1 + sketch))).astype(np.uint8)
 
 
-def _least_overlap(a, b, t: float):
-    """The overlap from which sets of these sizes have a Jaccard similarity of ``t``."""
-    return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
-
-
 def _classes(longest: int) -> list[tuple[int, int, int]]:
     """(over, up to, fragments) of the size classes of records that are cut into fragments."""
     out, over, parts = [], FRAGMENT_FROM, 4
@@ -216,24 +211,27 @@ def _joined(staged: DataFrame, t: float, tier: int, part: int) -> DataFrame:
     heads = staged.filter(F.pmod(F.shiftright("gram", 40), F.lit(PASSES)) == part)
     # both sides get the same filters (no row has a null), so that they share one exchange
     heads = heads.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in heads.columns]))
-    s, x = heads.alias("s"), heads.alias("x")
+    heads = heads.repartition("gram")
+    # a filter on a generated column stays above the exchange, a plain one would make two of it
+    short_head = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
+    left = heads.select("*", F.explode_outer(F.array(F.col("pos") < short_head)).alias("_short")).filter("_short")
+    s, x = left.alias("s"), heads.select("*", F.ceil(F.col("n") * t - 1e-9).cast("int").alias("lo")).alias("x")
     n_s, n_x = F.col("s.n"), F.col("x.n")
-    none = F.least(n_x, F.lit(0))  # words a test of one side with both, so that it isn't pushed below the exchange
-    need = _least_overlap(n_s, n_x, t)
+    need = (n_s + n_x) * (t / (1 + t)) - 1e-9
     differ = F.lit(0)
     for i in range((LARGE_BITS if tier else SMALL_BITS) // 64):
         differ = differ + F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"x.b{i}")))
-    short_head = n_s - F.ceil(n_s * (2 * t / (1 + t)) - 1e-9) + 1
     rows = s.join(
         x,
         (F.col("s.gram") == F.col("x.gram"))
-        & ((n_s < n_x) | ((n_s == n_x) & (F.col("s.id") < F.col("x.id"))))
-        & (F.col("s.pos") + none < short_head)
-        & (n_s >= n_x * t)
+        & (n_s <= n_x)
+        & (n_s >= F.col("x.lo"))
+        & (n_s - F.col("s.pos") >= need)
+        & (n_x - F.col("x.pos") >= need)
+        & ((n_s < n_x) | (F.col("s.id") < F.col("x.id")))
+        & (F.col("s.id") != F.col("x.id"))
         & (F.col("s.own") | F.col("x.own"))
-        & (F.least(n_s - F.col("s.pos"), n_x - F.col("x.pos")) >= need)
-        & (n_s + n_x - differ >= 2 * need)
-        & (F.col("s.id") != F.col("x.id")),
+        & (n_s + n_x - differ >= 2 * need),
     )
     return rows.select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b")).distinct()
 
