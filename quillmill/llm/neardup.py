@@ -14,10 +14,9 @@ from quillmill.runtime import stage, unstage
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
 # Buckets of the frequency sketch that orders the n-grams.
 SKETCH_BITS = 20
-# Records of up to so many n-grams are joined whole with a bitmap of so many bits, larger ones with the larger bitmap. Those of more
-# than FRAGMENT_FROM n-grams are cut into 4 fragments of the hash space, of twice as many into 8, and so on.
-SMALL, SMALL_BITS, LARGE_BITS = 128, 256, 1024
-FRAGMENT_FROM = 512
+# Records of up to so many n-grams are joined whole, larger ones cut into 4 fragments of the hash space, those of more than
+# twice as many into 8, and so on. Each has a bitmap of so many bits. The first tier holds the small records, the second the next two sizes.
+SMALL, BITMAP = 128, 256
 TIERS = 3
 # The heads are joined in so many passes, each over a part of the n-grams.
 PASSES = 2
@@ -119,26 +118,25 @@ def frequency_sketch(texts: DataFrame):
     return np.minimum(255, np.round(8 * np.log2(1 + sketch))).astype(np.uint8)
 
 
-def _classes(longest: int) -> list[tuple[int, int, int]]:
-    """(over, up to, fragments) of the size classes of records that are cut into fragments."""
-    out, over, parts = [], FRAGMENT_FROM, 4
-    while over < longest:
-        out.append((over, over * 2, parts))
-        over, parts = over * 2, parts * 2
-    return out
+def _classes(tier: int, longest: int) -> list[tuple[int, int, int]]:
+    """(over, up to, fragments) of a tier's size classes."""
+    out, parts = [(0, SMALL, 1)], 4
+    while out[-1][1] < max(longest, 4 * SMALL):
+        out.append((out[-1][1], out[-1][1] * 2, parts))
+        parts *= 2
+    return (out[:1], out[1:3], out[3:])[tier]
 
 
 def postings(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
     """``gram, id, n, pos, own, b0, b1...``: the head of each record, or of each of its fragments, rare n-grams first.
 
     The head is long enough for the record as the larger of a pair: a similar pair shares an n-gram in it. The bitmap holds the
-    parity of the n-grams by hash, from which a join row bounds a pair's overlap. Of a pair of large records the n-gram overlaps
+    parity of the n-grams by hash, from which a join row bounds a pair's overlap. Of a pair of large records the overlaps
     in the fragments sum to the pair's, so in one fragment at least the similarity is reached: each fragment is
     a record of its own here. A record belongs to its size class (``own``), and to the class below if a smaller partner may lie there.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)  # one byte for each bucket
-    bits = LARGE_BITS if tier else SMALL_BITS
-    whole_classes = [(0, SMALL, 1)], [(SMALL, FRAGMENT_FROM, 1)]
+    bits = BITMAP
     words = [f"b{i}" for i in range(bits // 64)]
 
     def heads_of(ids, lists, counts, level: int, upto: int, parts: int):
@@ -180,15 +178,14 @@ def postings(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sizes = part.column(1).value_lengths().to_numpy()
-                classes = whole_classes[tier] if tier < 2 else _classes(int(sizes.max()))
-                for level, (over, upto, parts) in enumerate(classes):
+                for level, (over, upto, parts) in enumerate(_classes(tier, int(sizes.max()))):
                     mine = np.flatnonzero((sizes > over) & (sizes * t <= upto))
                     for i in range(0, len(mine), max(1, 1024 // parts)):
                         rows = part.take(pa.array(mine[i : i + max(1, 1024 // parts)]))
                         yield heads_of(rows.column(0), rows.column(1), counts, level, upto, parts)
 
     size = F.size("grams")
-    fits = (size * t <= SMALL, (size > SMALL) & (size * t <= FRAGMENT_FROM), size > FRAGMENT_FROM)[tier]
+    fits = (size * t <= SMALL, (size > SMALL) & (size * t <= 4 * SMALL), size > 4 * SMALL)[tier]
     return texts.filter(fits).select("id", "grams").mapInArrow(
         run, "gram bigint, id bigint, n int, pos int, own boolean, " + ", ".join(f"{w} bigint" for w in words)
     )
@@ -219,7 +216,7 @@ def _joined(staged: DataFrame, t: float, tier: int, part: int) -> DataFrame:
     n_s, n_x = F.col("s.n"), F.col("x.n")
     need = (n_s + n_x) * (t / (1 + t)) - 1e-9
     differ = F.lit(0)
-    for i in range((LARGE_BITS if tier else SMALL_BITS) // 64):
+    for i in range(BITMAP // 64):
         differ = differ + F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"x.b{i}")))
     rows = s.join(
         x,
