@@ -79,18 +79,25 @@ def join_holes(arr: Column | str, sep: str) -> Column:
     return F.array_join(_c(arr), sep, "")
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once; a lambda's free expressions are evaluated anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _fnv(col: Column) -> Column:
     """FNV-1a of 32 bits over the UTF-16 units, as a bigint."""
-    hexed = F.hex(F.encode(col, "UTF-16BE"))
-    units = F.transform(
-        F.when(F.length(hexed) > 0, F.sequence(F.lit(1), F.length(hexed) - 3, F.lit(4))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda i: F.conv(F.substring(hexed, i, F.lit(4)), 16, 10).cast("bigint"),
-    )
+
+    def units(hexed: Column) -> Column:
+        return F.transform(
+            F.when(F.length(hexed) > 0, F.sequence(F.lit(1), F.length(hexed) - 3, F.lit(4))).otherwise(
+                F.array().cast("array<int>")
+            ),
+            lambda i: F.conv(F.substring(hexed, i, F.lit(4)), 16, 10).cast("bigint"),
+        )
+
     # Offset basis and prime of FNV-1a, 32 bits.
     return F.aggregate(
-        units,
+        let(F.hex(F.encode(col, "UTF-16BE")), units),
         F.lit(2166136261).cast("bigint"),
         lambda acc, u: (acc.bitwiseXOR(u) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")),
     )

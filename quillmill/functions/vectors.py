@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import let
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
@@ -13,7 +15,7 @@ def norm(v: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector at length one; null for empty and zero vectors and such with nulls."""
     v = v.cast("array<double>")
-    return F.when((F.size(v) > 0) & (norm(v) > 0), F.transform(v, lambda x: x / norm(v)))
+    return F.when((F.size(v) > 0) & (norm(v) > 0), let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmill.plans import integrity
+from quillmill.plans import integrity, retrieval
 
-MODULES = [integrity]
+MODULES = [integrity, retrieval]
 
 
 def queries() -> dict:
