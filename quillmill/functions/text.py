@@ -87,17 +87,13 @@ def let(value: Column, body) -> Column:
 def _fnv(col: Column) -> Column:
     """FNV-1a of 32 bits over the UTF-16 units, as a bigint."""
 
-    def units(hexed: Column) -> Column:
-        return F.transform(
-            F.when(F.length(hexed) > 0, F.sequence(F.lit(1), F.length(hexed) - 3, F.lit(4))).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i: F.conv(F.substring(hexed, i, F.lit(4)), 16, 10).cast("bigint"),
-        )
-
+    units = F.transform(
+        F.regexp_extract_all(F.hex(F.encode(col, "UTF-16BE")), F.lit(".{4}"), F.lit(0)),
+        lambda unit: F.conv(unit, 16, 10).cast("bigint"),
+    )
     # Offset basis and prime of FNV-1a, 32 bits.
     return F.aggregate(
-        let(F.hex(F.encode(col, "UTF-16BE")), units),
+        units,
         F.lit(2166136261).cast("bigint"),
         lambda acc, u: (acc.bitwiseXOR(u) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")),
     )
