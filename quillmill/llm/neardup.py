@@ -212,7 +212,7 @@ def _joined(staged: DataFrame, t: float, tier: int, part: int) -> DataFrame:
     # a filter on a generated column stays above the exchange, a plain one would make two of it
     short_head = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
     left = heads.select("*", F.explode_outer(F.array(F.col("pos") < short_head)).alias("_short")).filter("_short")
-    s, x = left.alias("s"), heads.select("*", F.ceil(F.col("n") * t - 1e-9).cast("int").alias("lo")).alias("x")
+    s, x = left.alias("s"), heads.alias("x")
     n_s, n_x = F.col("s.n"), F.col("x.n")
     need = (n_s + n_x) * (t / (1 + t)) - 1e-9
     differ = F.lit(0)
@@ -222,7 +222,7 @@ def _joined(staged: DataFrame, t: float, tier: int, part: int) -> DataFrame:
         x,
         (F.col("s.gram") == F.col("x.gram"))
         & (n_s <= n_x)
-        & (n_s >= F.col("x.lo"))
+        & (n_s >= n_x * t)
         & (n_s - F.col("s.pos") >= need)
         & (n_x - F.col("x.pos") >= need)
         & ((n_s < n_x) | (F.col("s.id") < F.col("x.id")))
