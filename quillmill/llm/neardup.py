@@ -14,12 +14,12 @@ from quillmill.runtime import stage, unstage
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
 # Buckets of the frequency sketch that orders the n-grams.
 SKETCH_BITS = 20
-# Records of up to so many n-grams are joined whole, larger ones cut into 4 fragments of the hash space, those of more than
-# twice as many into 8, and so on. Each has a bitmap of so many bits. The first tier holds the small records, the second the next two sizes.
+# Records of up to so many n-grams are joined whole, larger ones cut into 6 fragments of the hash space, those of more than
+# four times as many into 24, and so on. Each has a bitmap of so many bits. The tiers are the small records, the next size, and the others.
 SMALL, BITMAP = 128, 256
 TIERS = 3
 # The heads are joined in so many passes, each over a part of the n-grams.
-PASSES = 2
+PASSES = 3
 # Up to so many ids are broadcast to pick rows; beyond, the rows are shuffled.
 BROADCAST_IDS = 200_000
 # Fragments of the global order in which a candidate pair's overlap is counted.
@@ -120,11 +120,11 @@ def frequency_sketch(texts: DataFrame):
 
 def _classes(tier: int, longest: int) -> list[tuple[int, int, int]]:
     """(over, up to, fragments) of a tier's size classes."""
-    out, parts = [(0, SMALL, 1)], 4
+    out, parts = [(0, SMALL, 1)], 6
     while out[-1][1] < max(longest, 4 * SMALL):
-        out.append((out[-1][1], out[-1][1] * 2, parts))
-        parts *= 2
-    return (out[:1], out[1:3], out[3:])[tier]
+        out.append((out[-1][1], out[-1][1] * 4, parts))
+        parts *= 4
+    return (out[:1], out[1:2], out[2:])[tier]
 
 
 def postings(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
@@ -145,7 +145,7 @@ def postings(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
 
         whole = lists.value_lengths().to_numpy().astype(np.int64)
         g = lists.flatten().to_numpy().view(np.uint64)
-        o = np.repeat(np.arange(len(whole)), whole) * parts + ((g >> np.uint64(8)) & np.uint64(parts - 1)).astype(np.int64)
+        o = np.repeat(np.arange(len(whole)), whole) * parts + ((g >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
         rank = counts[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         order = np.lexsort((g, rank, o))
         g, o = g[order], o[order]
