@@ -10,6 +10,7 @@ from quillmill.functions.vectors import norm, unit
 from quillmill.operators import answer, chunking, conversation, index, memory, rerank, search, sync
 from quillmill.plans.integrity import WS_RE2
 from quillmill.runtime import read_table
+from quillmill.streaming import changes
 
 # The stated questions of the search queries; vectors are those of the named documents of the embeddings table.
 QUESTIONS = (
@@ -121,7 +122,18 @@ def _sync_plan(spark, d):
     return sync.plan(sync.changed_paths(events_as_changes(spark, d)), now, was)
 
 
+def _flushes(spark, d):
+    """The events as changes of a note for each user, flushed after quiet gaps."""
+    rows = read_table(spark, d, "events").select(
+        F.lit("modify").alias("kind"), F.concat(F.lit("u"), F.col("user_id"), F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("old_path"),
+        F.col("ts").cast("timestamp").alias("at"),
+    )
+    at = F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us")
+    return changes.quiet_flushes(rows).select(*at, F.array_join("paths", " ").alias("paths"))
+
+
 QUERIES = {
+    "e3_quiet_flushes": _flushes,
     "f1_folder_scope": lambda s, d: chunk_rows(s, d).filter(T.in_folder("file_path", "Projects")).select("id", "file_path"),
     "f2_markdown_paths": lambda s, d: chunk_rows(s, d).filter(T.is_markdown("file_path")).select("file_path").distinct(),
     "f5_usable_embeddings": lambda s, d: embedding_rows(s, d).agg(F.count("*").alias("n"), F.round(F.sum(norm(F.col("vector"))), 4).alias("norms")),
@@ -233,6 +245,9 @@ r0 AS (SELECT h.*, 0.4 * h.score + 0.15 * len(list_intersect(list_distinct({_tok
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, pos) AS final_pos FROM r0)"""
 
 SQL = {
+    "e3_quiet_flushes": """WITH g AS (SELECT ts, user_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 15 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum(fresh) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS w FROM g)
+SELECT epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 15000000 AS end_us, array_to_string(list_sort(list_distinct(list('u' || user_id || '.md'))), ' ') AS paths FROM s GROUP BY w""",
     "f1_folder_scope": f"WITH {_CH} SELECT id, file_path FROM ch WHERE starts_with(file_path, 'Projects/')",
     "f2_markdown_paths": "SELECT DISTINCT file_path FROM chunks WHERE lower(file_path) LIKE '%.md'",
     "f5_usable_embeddings": f"WITH {_EMB} SELECT count(*) AS n, round(sum(sqrt(list_dot_product(vector, vector))), 4) AS norms FROM e",
