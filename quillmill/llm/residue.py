@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import trim_ws
+from quillmill.functions.text import let, trim_ws
+from quillmill.runtime import stage
 
 # A line is boilerplate of its host if so large a share of the host's records, and so many, hold it.
-BOILERPLATE_SHARE, BOILERPLATE_LEAST = 0.005, 3
-# What may stand beside the evidence of an error page or script notice: words of residual lines.
-BESIDE_WORDS = 8
+BOILERPLATE_SHARE, BOILERPLATE_LEAST = 0.001, 3
+# What may stand beside the evidence of an error page or script notice: words of residual lines, and their number for each word of the messages.
+BESIDE_WORDS, BESIDE_SHARE = 8, 1.0
+# Up to so many recurrent lines, counted first, are broadcast.
+BROADCAST_MARKS = 200_000
 # Lines longer than this are prose, no message of a server or browser.
 MESSAGE_CHARS = 240
 
@@ -82,15 +85,30 @@ SCRIPT = (
     r"|bloqueia (?:os )?scripts|(?:necesita|precisa|requiere|requer)\b.{0,20}scripts?"
     r"|启用.{0,6}(?:javascript|脚本)|禁用.{0,4}脚本|(?:允许|需要).{0,6}(?:运行)?脚本|支持.{0,4}脚本"
 )
-# Stand-in words of lists, keyboard runs and mock Latin.
+# Stand-ins that fill a list's items.
 DUMMY = r"(?iu)^(?:[-*+\s\[\]]*(?:\.{2,}|…|\?{2,}|x{3,}|foo|bar|baz|foo bar|bar baz|todo|tbd|tba|n/?a|test|lorem|[-–_]+)[\s.,;:]*)+$"
-MOCK = frozenset(
-    "lorem ipsum dolor dolore dolorem sit amet consectetur adipiscing adipisicing adipisci adipens elit sed eiusmod tempor incididunt"
-    " labore laboris laborum magna aliqua aliquip enim minim veniam quis nostrud ullamco nisi commodo consequat duis aute irure velit"
-    " esse cillum fugiat fugit nulla nullam pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim"
-    " pretor sidium carpis vestal velunt quorin portis varius fugat conditor semper brevis altum molenda eget ferrum tremio"
-    " asdf asdfg asdfgh asdfghjkl qwer qwert qwerty qwertz jkl zxcv zxcvb hjkl sdf sdfg xx xxx xxxx test bla blah foo bar baz todo tbd".split()
+# Words of the common mock-Latin passage and stand-ins in running text; keyboard runs and repeated letters go by rule.
+STAND_INS = tuple(
+    "lorem ipsum dolor dolore sit amet consectetur adipiscing adipisicing elit eiusmod tempor incididunt labore magna aliqua enim"
+    " minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse"
+    " cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum"
+    " foo bar baz test todo tbd blah".split()
 )
+# The rows of keyboards; a word that is part of one, forwards, was drummed and not written.
+KEY_ROWS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "qsdfghjklm", "zxcvbnm", "yxcvbnm")
+# The most usual articles, pronouns, prepositions and conjunctions of the Latin-script languages of the vault.
+FUNCTION_WORDS = tuple(
+    "the of and to in is that it for was with as on are this be by at from or an not have but which a has its if no"
+    " der die das und ist nicht ein eine zu den von mit sich auf für im dem des als auch es am wird aus bei nach"
+    " le la les de et est un une du que qui dans pour sur pas au ce il en par ou plus avec"
+    " el los las y una por con para del se lo su más al como"
+    " o os e é um uma do da em com não ao dos das na mais".split()
+)
+# A text of at least so many Latin words, of which at most such a share are function words, and each word of which comes
+# back so often on average, says nothing in any language of the vault.
+MOCK_WORDS, MOCK_FUNCTION_SHARE, MOCK_REPEATS = 12, 0.02, 1.25
+# Of drummed words and stand-ins at most such a share are function words.
+DRUMMED_FUNCTION_SHARE = 0.1
 # A word, a Han character or a run of dots or question marks.
 WORD = r"[\p{L}\p{N}_&&[^\u4E00-\u9FFF]]+|[\u4E00-\u9FFF]|[?.]{2,}"
 KINDS = ("script_notice", "error_page", "filler", "placeholder")
@@ -116,24 +134,21 @@ def prose(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    """A line as it is counted: a short one in lower case with digits as 0, a long one as it is."""
-    return F.when(F.length(line) <= MESSAGE_CHARS, F.regexp_replace(F.lower(line), r"[0-9]+", "0")).otherwise(line)
+    """A line as it is counted: a short one in lower case with codes and numbers of up to 12 characters as 0, a long one as it is."""
+    code = r"\b(?=[a-z]{0,11}[0-9])[a-z0-9]{1,12}\b"
+    return F.when(F.length(line) <= MESSAGE_CHARS, F.regexp_replace(F.lower(line), code, "0")).otherwise(line)
 
 
 def with_lines(docs: DataFrame, key: str, host: str) -> DataFrame:
-    """``key, host, prose, lines``; lines are trimmed, blank ones and headings dropped."""
-    rows = docs.filter(F.col("text").isNotNull()).select(
-        F.col(key), F.lower(trim_ws(F.coalesce(F.col(host), F.lit("")))).alias("host"), prose(F.col("text")).alias("prose")
-    )
-    lines = F.filter(
-        F.transform(F.split("prose", "\n"), lambda x: F.trim(x)),
-        lambda x: (x != "") & ~(x.startswith("#") & x.rlike(r"^#{1,6}(?:\s|$)")),
-    )
-    return rows.withColumn("lines", lines)
+    """``key, host, lines``: the trimmed lines of a record's prose, blank ones dropped."""
+    text = prose(F.col("text"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = docs.filter(F.col("text").isNotNull())
+    return rows.select(F.col(key), F.lower(trim_ws(F.coalesce(F.col(host), F.lit("")))).alias("host"), lines.alias("lines"))
 
 
 def boilerplate(rows: DataFrame) -> DataFrame:
-    """``host, marks``: hashes of the normalised lines recurrent among the host's records.
+    """``host, mark``: hashes of the normalised lines recurrent among the host's records, staged.
 
     Counted over all records, folded map-side. A host has at most (lines of a record) / share such
     lines. Lines that are evidence themselves are never boilerplate.
@@ -149,82 +164,124 @@ def boilerplate(rows: DataFrame) -> DataFrame:
         .filter(F.col("n") >= BOILERPLATE_LEAST)
     )
     often = counted.join(hosts, "host").filter(F.col("n") >= F.col("n_host") * BOILERPLATE_SHARE)
-    # on the folded array, so that the patterns run on the recurrent lines only, not below the count
-    return (
-        often.groupBy("host")
-        .agg(F.collect_list(F.struct("mark", "line")).alias("found"))
-        .select(
-            "host",
-            F.transform(
-                F.filter("found", lambda x: ~F.coalesce(_evident(x["line"]), F.lit(False))), lambda x: x["mark"]
-            ).alias("marks"),
-        )
-    )
+    # a generated column, so that the patterns run on the recurrent lines only, not below the count
+    evident = F.explode_outer(F.array(F.coalesce(_evident(F.col("line")), F.lit(False)))).alias("evident")
+    return stage(often.select("host", "mark", evident).filter(~F.col("evident")).select("host", "mark").distinct(), "marks")
 
 
 def _evident(line: Column) -> Column:
-    return line.rlike(ERROR) | line.rlike(SCRIPT) | line.rlike(DUMMY) | line.rlike(PLACEHOLDER)
+    return line.rlike(ERROR) | line.rlike(SCRIPT) | line.rlike(DUMMY) | line.rlike(PLACEHOLDER) | _is_run(line)
 
 
 def _n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
-def _runs(text: Column) -> Column:
-    """Whether a text is, for four fifths, one phrase again and again.
+def _is_run(text: Column) -> Column:
+    """Whether a text is one phrase of up to 80 characters, six times or more, and a part of it."""
+    return (F.length(text) >= 24) & text.rlike(r"(?s)^\W{0,3}(.{1,80}?)\1{5,}.{0,80}$")
+
+
+def _runs(lines: Column, body: Column) -> Column:
+    """Whether a text is, for four fifths, one phrase again and again, within its lines or over them."""
+    in_lines = F.aggregate(F.filter(lines, _is_run), F.lit(0), lambda n, x: n + F.length(x))
+    return _is_run(body) | (in_lines * 5 >= F.length(body) * 4) & (in_lines > 0)
+
+
+def _is_drummed(word: Column) -> Column:
+    on_row = F.lit(False)
+    for row in KEY_ROWS:
+        on_row = on_row | F.lit(row).contains(word)
+    return ((F.length(word) >= 3) & (on_row | word.rlike(r"^(.)\1+$"))) | word.isin(*STAND_INS)
+
+
+def _is_filler(lines: Column, body: Column) -> Column:
+    """Lines of stand-ins only; one phrase again and again; drummed words; or words of no language, coming back again and again."""
+    dummy = (F.size(lines) >= 3) & F.forall(lines, lambda x: x.rlike(DUMMY))
+
+    def wordy(words: Column) -> Column:
+        n = F.size(words)
+        latin = F.size(F.filter(words, lambda w: w.rlike(r"^\p{IsLatin}+$")))
+        said = F.size(F.filter(words, lambda w: w.isin(*FUNCTION_WORDS)))
+        drummed = F.size(F.filter(words, _is_drummed))
+        mock = (
+            (n >= MOCK_WORDS)
+            & (said <= n * MOCK_FUNCTION_SHARE)
+            & (latin >= n * 0.9)
+            & (n >= F.size(F.array_distinct(words)) * MOCK_REPEATS)
+        )
+        # function words first: few texts have so few
+        return F.when(said <= n * DRUMMED_FUNCTION_SHARE, mock | ((n >= 5) & (drummed >= n * 0.6))).otherwise(F.lit(False))
+
+    words = F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return dummy | _runs(lines, body) | let(words, wordy)
+
 
-    The costly search runs only where the text repeats itself at a quarter, half or three quarters of its
-    length, as any text does that is one run.
+def left_over(rows: DataFrame, marks: DataFrame, key: str, most_broadcast: int = BROADCAST_MARKS) -> DataFrame:
+    """``key, left``: the lines of each record that aren't recurrent lines of its host.
+
+    The marks, counted first, are broadcast up to ``most_broadcast``; beyond, line hashes alone are joined, and what they leave
+    meets the records by ``key``, so that a host with many records is no single task.
     """
-    n = F.length(text)
-    spots = [F.substring(text, (n * q / 4).cast("int"), F.lit(80)).rlike(r"(?s)^(.{1,24}?)\1\1") for q in (1, 2, 3)]
-    rest = F.length(F.regexp_replace(text, r"(?s)(.{1,24}?)\1{5,}", ""))
-    return (n >= 24) & (spots[0] | spots[1] | spots[2]) & (rest <= n * 0.2)
+    if marks.limit(most_broadcast + 1).count() <= most_broadcast:
+        by_host = marks.groupBy("host").agg(F.collect_set("mark").alias("marks"))
+        none = F.array().cast("array<bigint>")
+        known = rows.join(F.broadcast(by_host), "host", "left").withColumn("marks", F.coalesce("marks", none))
+        return known.select(
+            key, F.when(F.size("marks") == 0, F.col("lines")).otherwise(
+                F.filter("lines", lambda x: ~F.array_contains("marks", F.xxhash64(normal_line(x))))
+            ).alias("left")
+        )
+    places = rows.select(key, "host", F.posexplode("lines").alias("at", "line")).select(
+        key, "host", "at", F.xxhash64(normal_line(F.col("line"))).alias("mark")
+    )
+    gone = places.join(marks, ["host", "mark"], "left_semi").groupBy(key).agg(F.collect_list("at").alias("gone"))
+    gone = gone.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.filter("lines", lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", i))
+    return rows.join(gone, key, "left").select(key, kept.alias("left"))
 
 
-def residues(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
+def residues(docs: DataFrame, key: str = "doc_id", host: str = "source", most_broadcast: int = BROADCAST_MARKS) -> DataFrame:
     """``key, kind``: the records that are residue, with what kind.
 
-    Recurrent lines of the host are subtracted; a record whose remaining lines are messages of a failed request or of a
-    browser without scripts, but for a few words, is an ``error_page`` or ``script_notice``; one whose words are stand-ins,
-    keyboard runs, mock Latin or one phrase again and again is ``filler``; one with a field left unfilled in its own words
-    is a ``placeholder``. Notes that show such things in code or quote them, short notes, null, empty and blank texts are no cases.
+    Recurrent lines of the host are subtracted, and all evidence is taken from what is left. Where that is messages of a failed
+    request or of a browser without scripts, but for no more words than the messages have, the record is an ``error_page`` or
+    ``script_notice``; where its words are stand-ins, drummed on the keyboard, without a language or one phrase again and again, it is
+    ``filler``; with a field left unfilled in its own words it is a ``placeholder``. Notes that show such things in code or quote them, short
+    notes, null, empty and blank texts are no cases.
     """
     rows = with_lines(docs, key, host)
-    marks = F.coalesce("marks", F.array().cast("array<bigint>"))
-    left = rows.join(boilerplate(rows), "host", "left").select(
-        key,
-        F.filter("lines", lambda x: ~F.array_contains(marks, F.xxhash64(normal_line(x)))).alias("left"),
-        F.array_join("lines", " ").alias("body"),
-        F.col("prose").rlike(PLACEHOLDER).alias("has_field"),
-        ((F.size("lines") >= 3) & F.forall("lines", lambda x: x.rlike(DUMMY))).alias("dummy"),
-    )
-    words = F.split(F.lower("body"), r"[^\p{L}\p{N}]+")
-    n_mock = F.size(F.filter(words, lambda w: w.isin(*sorted(MOCK))))
-    # the count of words only where the cheaper one of stand-ins allows the kind
-    filler = F.col("dummy") | _runs(F.col("body")) | ((F.col("n_mock") >= 5) & (F.col("n_mock") >= 0.6 * _n_words(F.col("body"))))
+    left = left_over(rows, boilerplate(rows), key, most_broadcast)
+    no_heading = F.filter("left", lambda x: ~(x.startswith("#") & x.rlike(r"^#{1,6}(?:\s|$)")))
 
     # the patterns run up to the first line that is neither a message nor a few words
     def is_message(x: Column) -> Column:
         return (F.length(x) <= MESSAGE_CHARS) & (x.rlike(SCRIPT) | x.rlike(ERROR))
 
-    brief = (F.size("left") > 0) & F.forall("left", lambda x: (_n_words(x) <= BESIDE_WORDS) | is_message(x))
-    judged = left.withColumn("n_mock", n_mock).select(
+    body = left.select(key, F.array_join("left", "\n").rlike(PLACEHOLDER).alias("has_field"), no_heading.alias("left"))
+    brief = F.when(
+        (F.size("left") > 0) & F.forall("left", lambda x: F.length(x) <= MESSAGE_CHARS),
+        F.forall("left", lambda x: (_n_words(x) <= BESIDE_WORDS) | is_message(x)),
+    ).otherwise(F.lit(False))
+    judged = body.select(
         key,
-        "left",
-        filler.alias("is_filler"),
         "has_field",
+        _is_filler(F.col("left"), F.array_join("left", " ")).alias("is_filler"),
+        "left",
         F.when(brief, F.filter("left", is_message)).alias("messages"),
     )
-    others = F.array_join(F.array_except("left", "messages"), " ")
-    only_messages = F.when(
-        F.size("messages") > 0, _n_words(others) <= BESIDE_WORDS
-    ).otherwise(F.lit(False))
+    # a code, as of a request, is no word beside a message
+    others = F.aggregate(
+        F.array_except("left", "messages"), F.lit(0), lambda n, x: n + _n_words(F.regexp_replace(x, r"\b\w*[0-9]\w*\b", ""))
+    )
+    of_messages = F.aggregate(F.array_distinct("messages"), F.lit(0), lambda n, x: n + _n_words(x))
+    mainly = (others <= BESIDE_WORDS) & (others <= of_messages * BESIDE_SHARE)
+    only_messages = F.when(F.size("messages") > 0, mainly).otherwise(F.lit(False))
     n_scripts = F.size(F.filter("messages", lambda x: x.rlike(SCRIPT)))
     kind = (
         F.when(only_messages, F.when(n_scripts * 2 >= F.size("messages"), F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])))
-        .when(F.col("is_filler"), F.lit(KINDS[2]))
         .when(F.col("has_field"), F.lit(KINDS[3]))
+        .when(F.col("is_filler"), F.lit(KINDS[2]))
     )
     # a filter on a generated column stays where it is; pushed down, it would be evaluated from the text anew
     return judged.select(key, F.explode_outer(F.array(kind)).alias("kind")).filter(F.col("kind").isNotNull())

@@ -237,3 +237,23 @@ def test_residue(spark):
     kept = residue.without_residue(df).count()
     assert kept == len(cases) - len(got)
     assert residue.residues(df.limit(0)).count() == 0
+
+
+def test_residue_comes_from_what_the_host_leaves(spark, monkeypatch):
+    note = "The weekly review lists the tools that should stay together and it was moved by the others"
+    frame = "Start page\nAll of our notes\nSign in here\n\n{}\n\nImprint and contact\nTerms of use"
+    filler = "- ???\n- foo\n- ...\n- TODO"
+    rows = [(i, frame.format(f"{note} {i}, and number {i * 7} of the {i}."), "a") for i in range(20)]
+    rows += [(100, frame.format("Zugriff verweigert"), "a"), (101, frame.format(filler), "A "), (102, frame.format("0" * 120), "a"), (103, frame.format("0" * 120), "a"), (104, frame.format("0" * 120), "a")]
+    rows += [(105, frame.format("Zugriff verweigert"), "b"), (106, "Zugriff verweigert", None), (107, "Mirum tolva sidra penna. " + "Tolva penna mirum sidra korda felum. " * 4, "b")]
+    rows += [(108, "- Anna\n- Bert\n- Carla\n- Dora\n- Emil\n- Frida\n- Gustav\n- Hanna\n- Igor\n- Jana\n- Karl\n- Lena\n- Max", "b"), (109, "word " * 30000, "b"), (110, ("The note of the day. " * 3 + "\n") * 3, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = {100: "error_page", 101: "filler", 102: "filler", 103: "filler", 104: "filler", 106: "error_page", 107: "filler", 109: "filler"}
+    got = {r.doc_id: r.kind for r in residue.residues(df).collect()}
+    assert {k: v for k, v in got.items() if k != 110} == expected
+    # the way for more recurrent lines than may be broadcast gives the same
+    assert {r.doc_id: r.kind for r in residue.residues(df, most_broadcast=0).collect()} == got
+    counted = residue.boilerplate
+    monkeypatch.setattr(residue, "boilerplate", lambda rows: counted(rows).limit(0))
+    without = {r.doc_id for r in residue.residues(df).collect()}
+    assert not without & {100, 101} and {106, 107, 109} <= without
