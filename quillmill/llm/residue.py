@@ -139,23 +139,29 @@ def normal_line(line: Column) -> Column:
     return F.when(F.length(line) <= MESSAGE_CHARS, F.regexp_replace(F.lower(line), code, "0")).otherwise(line)
 
 
+def host_name(host: str) -> Column:
+    return F.lower(trim_ws(F.coalesce(F.col(host), F.lit(""))))
+
+
 def with_lines(docs: DataFrame, key: str, host: str) -> DataFrame:
     """``key, host, lines``: the trimmed lines of a record's prose, blank ones dropped."""
-    text = prose(F.col("text"))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = docs.filter(F.col("text").isNotNull())
-    return rows.select(F.col(key), F.lower(trim_ws(F.coalesce(F.col(host), F.lit("")))).alias("host"), lines.alias("lines"))
+    lines = F.array_remove(F.split(prose(F.col("text")), r"[ \t]*\n\s*"), "")
+    return docs.filter(F.col("text").isNotNull()).select(F.col(key), host_name(host).alias("host"), lines.alias("lines"))
+
+
+def _is_heading(line: Column) -> Column:
+    return line.startswith("#") & line.rlike(r"^#{1,6}(?:\s|$)")
 
 
-def boilerplate(rows: DataFrame) -> DataFrame:
+def boilerplate(rows: DataFrame, hosts: DataFrame) -> DataFrame:
     """``host, mark``: hashes of the normalised lines recurrent among the host's records, staged.
 
-    Counted over all records, folded map-side. A host has at most (lines of a record) / share such
-    lines. Lines that are evidence themselves are never boilerplate.
+    Counted over all records, folded map-side; ``hosts`` is ``host, n_host``. A host has at most (lines of a record) / share such
+    lines. Headings aren't counted, and lines that are evidence themselves are never boilerplate.
     """
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n_host"))
+    own = F.filter("lines", lambda x: ~_is_heading(x))
     # explode_outer: explode would have the array built again for an inferred filter
-    lines = rows.select("host", F.explode_outer(F.array_distinct(F.transform("lines", normal_line))).alias("line"))
+    lines = rows.select("host", F.explode_outer(F.array_distinct(F.transform(own, normal_line))).alias("line"))
     short = F.when(F.length("line") <= MESSAGE_CHARS, F.col("line"))
     counted = (
         lines.filter(F.col("line").isNotNull()).select("host", F.xxhash64("line").alias("mark"), short.alias("line"))
@@ -182,10 +188,11 @@ def _is_run(text: Column) -> Column:
     return (F.length(text) >= 24) & text.rlike(r"(?s)^\W{0,3}(.{1,80}?)\1{5,}.{0,80}$")
 
 
-def _runs(lines: Column, body: Column) -> Column:
-    """Whether a text is, for four fifths, one phrase again and again, within its lines or over them."""
+def _runs(lines: Column, n_chars: Column) -> Column:
+    """Whether a text is, for four fifths, one phrase again and again, within its lines or line by line."""
     in_lines = F.aggregate(F.filter(lines, _is_run), F.lit(0), lambda n, x: n + F.length(x))
-    return _is_run(body) | (in_lines * 5 >= F.length(body) * 4) & (in_lines > 0)
+    again = (F.size(lines) >= 6) & (F.size(F.array_distinct(lines)) * 6 <= F.size(lines)) & (n_chars >= 24)
+    return again | (in_lines * 5 >= n_chars * 4) & (in_lines > 0)
 
 
 def _is_drummed(word: Column) -> Column:
@@ -213,8 +220,8 @@ def _is_filler(lines: Column, body: Column) -> Column:
         # function words first: few texts have so few
         return F.when(said <= n * DRUMMED_FUNCTION_SHARE, mock | ((n >= 5) & (drummed >= n * 0.6))).otherwise(F.lit(False))
 
-    words = F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return dummy | _runs(lines, body) | let(words, wordy)
+    words = F.array_remove(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), "")
+    return dummy | _runs(lines, F.length(body)) | let(words, wordy)
 
 
 def left_over(rows: DataFrame, marks: DataFrame, key: str, most_broadcast: int = BROADCAST_MARKS) -> DataFrame:
@@ -229,10 +236,10 @@ def left_over(rows: DataFrame, marks: DataFrame, key: str, most_broadcast: int =
         known = rows.join(F.broadcast(by_host), "host", "left").withColumn("marks", F.coalesce("marks", none))
         return known.select(
             key, F.when(F.size("marks") == 0, F.col("lines")).otherwise(
-                F.filter("lines", lambda x: ~F.array_contains("marks", F.xxhash64(normal_line(x))))
+                F.filter("lines", lambda x: _is_heading(x) | ~F.array_contains("marks", F.xxhash64(normal_line(x))))
             ).alias("left")
         )
-    places = rows.select(key, "host", F.posexplode("lines").alias("at", "line")).select(
+    places = rows.select(key, "host", F.posexplode("lines").alias("at", "line")).filter(~_is_heading(F.col("line"))).select(
         key, "host", "at", F.xxhash64(normal_line(F.col("line"))).alias("mark")
     )
     gone = places.join(marks, ["host", "mark"], "left_semi").groupBy(key).agg(F.collect_list("at").alias("gone"))
@@ -251,8 +258,9 @@ def residues(docs: DataFrame, key: str = "doc_id", host: str = "source", most_br
     notes, null, empty and blank texts are no cases.
     """
     rows = with_lines(docs, key, host)
-    left = left_over(rows, boilerplate(rows), key, most_broadcast)
-    no_heading = F.filter("left", lambda x: ~(x.startswith("#") & x.rlike(r"^#{1,6}(?:\s|$)")))
+    hosts = docs.groupBy(host_name(host).alias("host")).agg(F.count("*").alias("n_host"))
+    left = left_over(rows, boilerplate(rows, hosts), key, most_broadcast)
+    no_heading = F.filter("left", lambda x: ~_is_heading(x))
 
     # the patterns run up to the first line that is neither a message nor a few words
     def is_message(x: Column) -> Column:

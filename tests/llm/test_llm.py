@@ -254,6 +254,6 @@ def test_residue_comes_from_what_the_host_leaves(spark, monkeypatch):
     # the way for more recurrent lines than may be broadcast gives the same
     assert {r.doc_id: r.kind for r in residue.residues(df, most_broadcast=0).collect()} == got
     counted = residue.boilerplate
-    monkeypatch.setattr(residue, "boilerplate", lambda rows: counted(rows).limit(0))
+    monkeypatch.setattr(residue, "boilerplate", lambda rows, hosts: counted(rows, hosts).limit(0))
     without = {r.doc_id for r in residue.residues(df).collect()}
     assert not without & {100, 101} and {106, 107, 109} <= without
