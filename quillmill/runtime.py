@@ -40,35 +40,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for staged tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, one machine) a temporary folder
-    of this machine is made, and removed when Python ends.
+    Where it is unset, a temporary folder of this machine is made, and removed when Python ends; that is for tests and one
+    machine only, so with executors elsewhere it is an error.
     """
     global _LOCAL_DIR
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="quillmill-")
         atexit.register(shutil.rmtree, _LOCAL_DIR, ignore_errors=True)
     return f"file://{_LOCAL_DIR}"
 
 
-def stage(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def stage(df: DataFrame, tag: str, compression: str = "snappy", partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, as it is or in a part for each value of its last column.
 
     Cuts the lineage: a later stage reads the files, whichever executor was
     lost meanwhile. The files go when the application ends. The shuffle files that led
     to them are of no more use and go at once.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/quillmill-{tag}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
+    settings = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.maxConcurrentOutputFileWriters": "16",  # no sort for the parts
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path, compression=compression)
+        df.write.parquet(path, partitionBy=partition_by, compression=compression)
     finally:
-        spark.conf.set(cleanup, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.config import Settings
@@ -80,3 +81,20 @@ def test_stream_hands_over_paths(spark, tmp_path):
     query.awaitTermination(60)
     assert sorted(seen) == ["a.md", "b.md", "c.md"]
     assert changes.paths_of(spark.createDataFrame(rows, kind).filter(F.lit(False))).count() == 0
+
+
+def test_staging_wants_a_shared_folder_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from quillmill import runtime
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert runtime.shared_dir(session("yarn", "hdfs:///x/")) == "hdfs:///x"
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(session("spark://host:7077", None))
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "a int, part int")
+    staged = runtime.stage(rows, "test", partition_by="part")
+    assert staged.filter("part = 1").count() == 2 and staged.columns == ["a", "part"]
+    runtime.unstage(staged)
