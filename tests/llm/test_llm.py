@@ -158,27 +158,55 @@ def test_many_copies_make_a_star(spark):
 # ---- 5: vectors
 
 
-def test_exact_with_factor_one(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(700, 16))
-    x[50] = x[51] = x[52]
-    rows = [(f"v{i:03}", [float(c) for c in v], None) for i, v in enumerate(x)]
-    rows += [("zero", [0.0] * 16, None), ("short", [1.0], None), ("nan", [float("nan")] * 16, None), ("none", None, None), (" v000 ", None, None)]
-    df = spark.createDataFrame(rows, "id string, vec array<double>, at timestamp")
-    units = knn.unit_rows(knn.usable_vectors(df, "id", "vec", "at", 16))
-    assert units.count() == 700
+def _truth(x, keys, k):
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = y @ y.T
+    s = np.round(y @ y.T, 9)
     np.fill_diagonal(s, -2)
+    order = np.argsort(keys)
+    return {keys[i]: [keys[j] for j in order[np.argsort(-s[i][order], kind="stable")][:k]] for i in range(len(keys))}
+
+
+def _found(frame):
     got = {}
-    for r in knn.nearest(units, units, 3, relax=1.0).collect():
-        got.setdefault(r.key, set()).add(r.neighbour)
-    truth = {f"v{i:03}": {f"v{j:03}" for j in np.argsort(-s[i], kind="stable")[:3]} for i in range(700)}
-    assert sum(got[k] == truth[k] for k in truth) >= 698  # ties among the equal vectors aside
-    relaxed = knn.nearest(units, units, 3).collect()
-    assert sum(r.neighbour in truth[r.key] for r in relaxed) / (3 * 700) >= 0.9
+    for r in sorted(frame.collect(), key=lambda r: (r.key, r.rank)):
+        got.setdefault(r.key, []).append(r.neighbour)
+    return got
+
+
+def test_exact_with_factor_one(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_AIM", 60)
+    monkeypatch.setattr(knn, "SHARD_MOST", 40)
+    monkeypatch.setattr(knn, "SHARD_QUERIES", 100)
+    monkeypatch.setattr(knn, "LEAF", 8)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(6, 16))
+    x = np.concatenate([centres[rng.integers(0, 6, 700)] + 0.05 * rng.normal(size=(700, 16)), rng.normal(size=(20, 16)) * 9])
+    x[50:62] = x[50]  # ties, and more equal vectors than can be results
+    keys = [f"v{i:03}" for i in range(len(x))]
+    rows = [(f" {key}\t", [float(c) for c in v], None, "clash") for key, v in zip(keys, x)]
+    rows += [("zero", [0.0] * 16, None, ""), ("short", [1.0], None, ""), ("nan", [float("nan")] * 16, None, ""), ("none", None, None, ""), ("hole", [1.0] * 15 + [None], None, ""), (" ", [1.0] * 16, None, ""), (None, [1.0] * 16, None, "")]
+    rows += rows[:30] + [("v001", [1.0] * 16, 5, ""), ("v001", [float(c) for c in x[1]], 9, ""), ("v002", [float("inf")] * 16, 3, "")]
+    x = np.delete(x, 2, axis=0)  # the latest row of v002 is of no use
+    keys.remove("v002")
+    df = spark.createDataFrame(rows, "id string, vec array<double>, at long, unit string").withColumn("at", F.timestamp_millis("at"))
+    for most in (200_000, 0):
+        units = knn.unit_rows(knn.usable_vectors(df, "id", "vec", "at", 16, most))
+        assert {r.key for r in units.collect()} == set(keys)
+        truth = _truth(x, keys, 3)
+        assert _found(knn.nearest(units, units, 3, relax=1.0, most_broadcast=most)) == truth
+    some = units.filter("key like '%7'")
+    assert _found(knn.nearest(some, units, 3, relax=1.0)) == {k: v for k, v in truth.items() if k.endswith("7")}
+    relaxed = _found(knn.nearest(units, units, 3))
+    assert all(len(v) == 3 for v in relaxed.values()) and set(relaxed) == set(keys)
+    assert sum(len(set(relaxed[k]) & set(truth[k])) for k in truth) / (3 * len(keys)) >= 0.9
     assert knn.nearest(units.limit(0), units, 3).count() == 0
-    assert knn.mutual_pairs(units, 3, 0.999).count() == 3
+    assert knn.nearest(units, units.limit(0), 3).count() == 0
+    few = units.filter("key < 'v001z'")
+    assert _found(knn.nearest(few, few, 3)) == {"v000": ["v001"], "v001": ["v000"]}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {k: [n for n in v if y[keys.index(k)] @ y[keys.index(n)] >= 0.99] for k, v in truth.items()}
+    mutual = {(a, b) for a in keys for b in best[a] if a < b and a in best[b]}
+    assert {(r.a, r.b) for r in knn.mutual_pairs(units, 3, 0.99, relax=1.0).collect()} == mutual
 
 
 # ---- 7, 8: tokens and mixing
