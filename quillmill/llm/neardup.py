@@ -9,23 +9,28 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.runtime import stage, unstage
+from quillmill.runtime import ship, stage, unstage
 
 WORDS, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
-# Buckets of the frequency sketch that orders the n-grams.
-SKETCH_BITS = 20
+# The frequency sketch that orders the n-grams has about a bucket for four n-grams of the collection, within these powers of two; it is
+# broadcast, one byte for each bucket.
+SKETCH_BITS = (16, 24)
 # Records of up to so many n-grams are joined whole, larger ones cut into 6 fragments of the hash space, those of more than
 # four times as many into 24, and so on. Each has a bitmap of so many bits. The tiers are the small records, the next size, and the others.
 SMALL, BITMAP = 128, 256
 TIERS = 3
-# The heads are joined in so many passes, each over a part of the n-grams.
-PASSES = 3
+# The heads are joined in so many fragments of the global order, one after the other.
+HEAD_FRAGMENTS = 3
+# The postings of an n-gram with more than so many are copied, and the probing rows dealt out to the copies.
+HOT = 20_000
 # Up to so many ids are broadcast to pick rows; beyond, the rows are shuffled.
 BROADCAST_IDS = 200_000
-# Fragments of the global order in which a candidate pair's overlap is counted.
+# Fragments of the global order in which a surviving pair's overlap is completed.
 FRAGMENTS = 4
-# Copies up to so many are given pair by pair; of larger groups each copy is linked to the first.
+# Copies up to so many are given pair by pair, unless told otherwise; of larger groups each copy is linked to the first.
 EXPANDED = 50
+# A posting's size (20 bits), place (20 bits) and cell (20 bits) share a number with two flags.
+_BITS = 20
 _WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 REMEMBERED = 500_000
 
@@ -40,7 +45,7 @@ def _mixed(x):
 
 
 def shingled(rows: DataFrame, words: int = WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``key, id, check, grams``: the hashed n-grams of each record, sorted and distinct; ``id, check`` hash the whole set.
+    """``key, id, check, n, grams``: the ``n`` hashed n-grams of each record, sorted and distinct; ``id, check`` hash the whole set.
 
     Words are the runs of letters and digits of the lower-cased text, a Han character is a word of its own. Null texts and those
     of fewer than ``least_words`` words (or than one n-gram has) give no row.
@@ -99,23 +104,51 @@ def shingled(rows: DataFrame, words: int = WORDS, least_words: int = LEAST_WORDS
                         part.column(0).take(pa.array(keep)),
                         pa.array(whole.view(np.int64)),
                         pa.array(check.view(np.int64)),
+                        pa.array(np.diff(np.append(starts, len(g))).astype(np.int32)),
                         pa.ListArray.from_arrays(offsets, pa.array(g.view(np.int64))),
                     ],
-                    ["key", "id", "check", "grams"],
+                    ["key", "id", "check", "n", "grams"],
                 )
 
-    return rows.select("key", "text").mapInArrow(run, "key string, id bigint, check bigint, grams array<bigint>")
+    return rows.select("key", "text").mapInArrow(run, "key string, id bigint, check bigint, n int, grams array<bigint>")
 
 
-def frequency_sketch(texts: DataFrame):
-    """Counts of all n-grams by hash bucket: 2^20 numbers, however large the collection."""
+class Sketch:
+    """The global order of the n-grams: by the count of their bucket, on a logarithmic scale of 256 steps, then by hash."""
+
+    def __init__(self, ranks, bits: int):
+        self.ranks, self.bits = ranks, bits
+
+    def rank(self, grams):
+        import numpy as np
+
+        return self.ranks[(grams >> np.uint64(64 - self.bits)).astype(np.int64)]
+
+    def cuts(self, parts: int, share: float = 1.0) -> list[int]:
+        """Ranks at which the rarer ``share`` of all occurrences falls into ``parts`` of about equal weight."""
+        import numpy as np
+
+        weight = np.bincount(self.ranks, weights=2.0 ** (self.ranks / 8.0) - 1, minlength=256).cumsum()
+        return [int(np.searchsorted(weight, weight[-1] * share * i / parts)) for i in range(1, parts)]
+
+
+def frequency_sketch(texts: DataFrame, bits: int | None = None) -> Sketch:
+    """Counts of all n-grams of ``(n, grams)`` by hash bucket."""
+    import math
+
     import numpy as np
 
-    bucket = F.shiftrightunsigned("gram", 64 - SKETCH_BITS).cast("int")
-    counts = texts.select(F.explode("grams").alias("gram")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, np.float32)
-    sketch[counts.column("b").to_numpy()] = counts.column("n").to_numpy()
-    return np.minimum(255, np.round(8 * np.log2(1 + sketch))).astype(np.uint8)
+    if bits is None:
+        total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        bits = max(SKETCH_BITS[0], min(SKETCH_BITS[1], math.ceil(math.log2(max(4, total) / 4))))
+    bucket = F.shiftrightunsigned("gram", 64 - bits).cast("int")
+    counted = texts.select(F.explode("grams").alias("gram")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    # a level of each bucket comes to the driver, at most 2^24 of them
+    level = F.least(F.lit(255), F.round(8 * F.log2(F.col("n") + 1))).cast("short")
+    counts = counted.select("b", level.alias("level")).toArrow()
+    ranks = np.zeros(1 << bits, np.uint8)
+    ranks[counts.column("b").to_numpy()] = counts.column("level").to_numpy().astype(np.uint8)
+    return Sketch(ranks, bits)
 
 
 def _classes(tier: int, longest: int) -> list[tuple[int, int, int]]:
@@ -127,53 +160,85 @@ def _classes(tier: int, longest: int) -> list[tuple[int, int, int]]:
     return (out[:1], out[1:2], out[2:])[tier]
 
 
-def postings(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
-    """``gram, id, n, pos, own, b0, b1...``: the head of each record, or of each of its fragments, rare n-grams first.
+def _size(side: str):
+    return F.col(f"{side}.info").bitwiseAND(F.lit((1 << _BITS) - 1))
+
+
+def _place(side: str):
+    return F.shiftright(f"{side}.info", _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
+
+
+def _cell(side: str):
+    return F.shiftright(f"{side}.info", 2 * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
+
+
+def _flag(side: str, i: int):
+    return F.shiftright(f"{side}.info", 3 * _BITS + i).bitwiseAND(F.lit(1)) == 1
+
+
+def postings(texts: DataFrame, sketch: Sketch, t: float, tier: int, hot: int = HOT) -> DataFrame:
+    """``gram, id, info, fragment, b0, b1...``: the head of each record, or of each of its cells, rare n-grams first.
 
     The head is long enough for the record as the larger of a pair: a similar pair shares an n-gram in it. The bitmap holds the
-    parity of the n-grams by hash, from which a join row bounds a pair's overlap. Of a pair of large records the overlaps
-    in the fragments sum to the pair's, so in one fragment at least the similarity is reached: each fragment is
-    a record of its own here. A record belongs to its size class (``own``), and to the class below if a smaller partner may lie there.
+    parity of the n-grams by hash, from which a join row bounds a pair's overlap. Large records are cut into cells of the hash space: the overlaps
+    of a pair in the cells sum to the pair's, so in one cell at least the similarity is reached, and each cell is
+    a record of its own here. A record belongs to its size class (flag 0), and to the class below if a smaller partner may lie there.
+    ``fragment`` is the part of the global order an n-gram lies in. N-grams that occur once can't join and are left out. Those with more than ``hot``
+    postings have copies of these under salted names; flag 1 marks the copy with which a record probes.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)  # one byte for each bucket
+    cuts = sketch.cuts(HEAD_FRAGMENTS, t)  # a head holds the rarer part of its record
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
     bits = BITMAP
     words = [f"b{i}" for i in range(bits // 64)]
 
-    def heads_of(ids, lists, counts, level: int, upto: int, parts: int):
+    def heads_of(ids, lists, order_of, level: int, upto: int, parts: int):
         import numpy as np
         import pyarrow as pa
 
         whole = lists.value_lengths().to_numpy().astype(np.int64)
         g = lists.flatten().to_numpy().view(np.uint64)
         o = np.repeat(np.arange(len(whole)), whole) * parts + ((g >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-        rank = counts[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        rank = order_of.rank(g)
         order = np.lexsort((g, rank, o))
-        g, o = g[order], o[order]
+        g, o, rank = g[order], o[order], rank[order]
         n = np.bincount(o, minlength=len(whole) * parts)
         bit = ((g >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
         parity = np.bincount(o * bits + bit, minlength=len(n) * bits).reshape(len(n), bits) & 1
         maps = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
         pos = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
         head = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
-        keep = np.flatnonzero(pos < head[o])
+        keep = np.flatnonzero((pos < head[o]) & (rank > 8))  # rank 8: one occurrence
+        estimate = 2.0 ** (rank[keep] / 8.0) - 1
+        salts = np.maximum(1, np.ceil(estimate / hot)).astype(np.int64)
+        salt = np.zeros(len(keep), np.int64)
+        if (salts > 1).any():
+            salt = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
+            keep, salts = np.repeat(keep, salts), np.repeat(salts, salts)
         at = o[keep]
+        row = at // parts
+        mine = ids.to_numpy().view(np.uint64)[row]
+        probes = salt == (_mixed(mine) % salts.astype(np.uint64)).astype(np.int64)
+        info = (
+            n[at] | (pos[keep] << _BITS) | ((at % parts) << (2 * _BITS))
+            | ((whole[row] <= upto).astype(np.int64) << (3 * _BITS)) | (probes.astype(np.int64) << (3 * _BITS + 1))
+        )
+        name = g[keep] ^ np.uint64(level) ^ np.where(salt > 0, _mixed(salt.astype(np.uint64)), np.uint64(0))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array((g[keep] ^ np.uint64(level)).view(np.int64)),
-                ids.take(pa.array(at // parts)),
-                pa.array(n[at].astype(np.int32)),
-                pa.array(pos[keep].astype(np.int32)),
-                pa.array(whole[at // parts] <= upto),
+                pa.array(name.view(np.int64)),
+                ids.take(pa.array(row)),
+                pa.array(info),
                 *(pa.array(maps[at, i]) for i in range(len(words))),
+                pa.array(np.searchsorted(cuts, rank[keep], side="left").astype(np.int32)),
             ],
-            ["gram", "id", "n", "pos", "own", *words],
+            ["gram", "id", "info", *words, "fragment"],
         )
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        counts = shared.value
+        order_of = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -182,38 +247,49 @@ def postings(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
                     mine = np.flatnonzero((sizes > over) & (sizes * t <= upto))
                     for i in range(0, len(mine), max(1, 1024 // parts)):
                         rows = part.take(pa.array(mine[i : i + max(1, 1024 // parts)]))
-                        yield heads_of(rows.column(0), rows.column(1), counts, level, upto, parts)
+                        yield heads_of(rows.column(0), rows.column(1), order_of, level, upto, parts)
 
-    size = F.size("grams")
+    size = F.col("n")
     fits = (size * t <= SMALL, (size > SMALL) & (size * t <= 4 * SMALL), size > 4 * SMALL)[tier]
     return texts.filter(fits).select("id", "grams").mapInArrow(
-        run, "gram bigint, id bigint, n int, pos int, own boolean, " + ", ".join(f"{w} bigint" for w in words)
+        run, "gram bigint, id bigint, info bigint, " + ", ".join(f"{w} bigint" for w in words) + ", fragment int"
     )
 
 
-def candidates(texts: DataFrame, sketch, t: float, tier: int) -> DataFrame:
-    """``a, b`` (``a < b``): pairs that share an n-gram of their heads and whose sizes, places and bitmaps allow the similarity.
+def candidates(texts: DataFrame, sketch: Sketch, t: float, tier: int, hot: int = HOT) -> DataFrame:
+    """``a, b`` (``a < b``): pairs whose partial overlaps, and whose sizes, places and bitmaps, allow the similarity.
 
-    Of the smaller of a pair only the shorter head counts that it needs. No pair that reaches the similarity is left
-    out: each test bounds the overlap from above.
+    Vertical partitioning: the heads are joined fragment by fragment of the global order, each gives the partial overlaps of its
+    pairs, and these are summed for each pair. Of the smaller of a pair only the shorter head counts that it needs. No pair that reaches the
+    similarity is left out: each test bounds the overlap from above.
     """
-    staged = stage(postings(texts, sketch, t, tier), "heads", "zstd")
-    found = [stage(_joined(staged, t, tier, part), "candidates") for part in range(PASSES)]
+    staged = stage(postings(texts, sketch, t, tier, hot), "heads", "zstd", "fragment")
+    partial = [stage(_joined(staged, t, fragment), "partial") for fragment in range(HEAD_FRAGMENTS)]
     unstage(staged)
-    return reduce(DataFrame.unionByName, found)
+    summed = reduce(DataFrame.unionByName, partial).groupBy("a", "b", "cell").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    return summed.filter(F.col("shared") >= F.col("least")).select("a", "b")
+
 
+def _joined(staged: DataFrame, t: float, fragment: int) -> DataFrame:
+    """``a, b, cell, shared, least``: partial overlaps of the heads in one fragment, and how many the sum must be at least.
 
-def _joined(staged: DataFrame, t: float, tier: int, part: int) -> DataFrame:
-    """The candidates by the n-grams of one part of the hash space, so that only a part is shuffled at a time."""
-    heads = staged.filter(F.pmod(F.shiftright("gram", 40), F.lit(PASSES)) == part)
+    Common n-grams outside the two heads lie behind the end of that head which ends first in the global order, so there are no more
+    of them than the rest of that record.
+    """
+    heads = staged.filter(F.col("fragment") == fragment).drop("fragment")
     # both sides get the same filters (no row has a null), so that they share one exchange
     heads = heads.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in heads.columns]))
     heads = heads.repartition("gram")
+
+    def short_head(n):
+        return n - F.ceil(n * (2 * t / (1 + t)) - 1e-9) + 1
+
     # a filter on a generated column stays above the exchange, a plain one would make two of it
-    short_head = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
-    left = heads.select("*", F.explode_outer(F.array(F.col("pos") < short_head)).alias("_short")).filter("_short")
+    own = heads.alias("h")
+    probing = _flag("h", 1) & (_place("h") < short_head(_size("h")))
+    left = own.select("h.*", F.explode_outer(F.array(probing)).alias("_short")).filter("_short")
     s, x = left.alias("s"), heads.alias("x")
-    n_s, n_x = F.col("s.n"), F.col("x.n")
+    n_s, n_x = _size("s"), _size("x")
     need = (n_s + n_x) * (t / (1 + t)) - 1e-9
     differ = F.lit(0)
     for i in range(BITMAP // 64):
@@ -223,14 +299,22 @@ def _joined(staged: DataFrame, t: float, tier: int, part: int) -> DataFrame:
         (F.col("s.gram") == F.col("x.gram"))
         & (n_s <= n_x)
         & (n_s >= n_x * t)
-        & (n_s - F.col("s.pos") >= need)
-        & (n_x - F.col("x.pos") >= need)
+        & (n_s - _place("s") >= need)
+        & (n_x - _place("x") >= need)
         & ((n_s < n_x) | (F.col("s.id") < F.col("x.id")))
         & (F.col("s.id") != F.col("x.id"))
-        & (F.col("s.own") | F.col("x.own"))
+        & (_flag("s", 0) | _flag("x", 0))
         & (n_s + n_x - differ >= 2 * need),
     )
-    return rows.select(F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b")).distinct()
+    rest = F.greatest(n_s - short_head(n_s), F.ceil(n_x * t - 1e-9) - 1)
+    return (
+        rows.select(
+            F.least("s.id", "x.id").alias("a"), F.greatest("s.id", "x.id").alias("b"), _cell("x").cast("int").alias("cell"),
+            F.greatest(F.lit(1), F.ceil(need) - rest).cast("int").alias("least"),
+        )
+        .groupBy("a", "b", "cell")
+        .agg(F.count("*").cast("int").alias("shared"), F.max("least").alias("least"))
+    )
 
 
 def _pick(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
@@ -238,16 +322,13 @@ def _pick(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, on, how)
 
 
-def fragment_overlaps(pairs: DataFrame, texts: DataFrame, sketch, t: float) -> DataFrame:
+def fragment_overlaps(pairs: DataFrame, texts: DataFrame, sketch: Sketch, t: float) -> DataFrame:
     """``a, b, similarity`` of the pairs that reach ``t``.
 
     The global order is cut into fragments of about equal weight; the overlap of a pair is counted in each
     fragment on its own, and the counts are summed.
     """
-    import numpy as np
-
-    weight = np.bincount(sketch, weights=2.0 ** (sketch / 8.0), minlength=256).cumsum()
-    pivots = [int(np.searchsorted(weight, weight[-1] * i / FRAGMENTS)) for i in range(1, FRAGMENTS)]
+    pivots = sketch.cuts(FRAGMENTS)
     shared = texts.sparkSession.sparkContext.broadcast((sketch, pivots))
 
     def cut(batches: Iterator) -> Iterator:
@@ -259,8 +340,7 @@ def fragment_overlaps(pairs: DataFrame, texts: DataFrame, sketch, t: float) -> D
             lists = batch.column(1)
             n = lists.value_lengths().to_numpy().astype(np.int64)
             g = lists.flatten().to_numpy()
-            rank = counts[(g.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            frag = np.searchsorted(np.array(at), rank, side="left")
+            frag = np.searchsorted(np.array(at), counts.rank(g.view(np.uint64)), side="left")
             o = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((frag, o))
             g, cell = g[order], (o * FRAGMENTS + frag)[order]
@@ -299,8 +379,9 @@ class NearDuplicates:
     ``id, key, first, n_copies``, a row for each key (repeated rows count once); ``pairs`` is ``a, b, similarity`` on text ids.
     """
 
-    def __init__(self, rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS):
+    def __init__(self, rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, hot: int = HOT):
         self.similarity = similarity
+        ship(rows.sparkSession)
         grams = stage(shingled(rows, words, least_words).withColumn("row", F.monotonically_increasing_id()), "grams")
         keys = grams.groupBy("id", "check", "key").agg(F.min("row").alias("row"))
         firsts = keys.groupBy("id", "check").agg(F.min("key").alias("first"), F.count("*").alias("n_copies"), F.min("row").alias("_row"))
@@ -308,20 +389,22 @@ class NearDuplicates:
         # one row for each text; the other rows are the few to name
         others = grams.select("id", "check", "row").join(firsts.select("id", "check", "_row"), ["id", "check"])
         spare = stage(others.filter("row <> _row").select("row"), "spare")
-        self.texts = _pick(grams.select("row", "id", "grams"), spare, "row", "left_anti").select("id", "grams")
+        self.texts = _pick(grams.select("row", "id", "n", "grams"), spare, "row", "left_anti").select("id", "n", "grams")
         sketch = frequency_sketch(self.texts)
         # one after the other, so that the shuffle files of those before are gone by then
-        found = [candidates(self.texts, sketch, similarity, tier) for tier in range(TIERS)]
-        every = reduce(DataFrame.unionByName, found).distinct()
+        found = [candidates(self.texts, sketch, similarity, tier, hot) for tier in range(TIERS)]
+        every = stage(reduce(DataFrame.unionByName, found).distinct(), "candidates")
         self.pairs = stage(fragment_overlaps(every, self.texts, sketch, similarity), "similar")
+        unstage(every)
 
-    def key_pairs(self) -> DataFrame:
+    def key_pairs(self, expanded: int | None = EXPANDED) -> DataFrame:
         """``a, b`` (``a < b``): pairs of keys, between similar texts and between copies.
 
-        Of texts with up to ``EXPANDED`` copies every copy is given; beyond, the first key stands for them and each copy is
-        linked to it, so that no link between different texts is lost.
+        Of texts with up to ``expanded`` copies every copy is given; beyond, the first key stands for them and each copy is
+        linked to it, so that no link between different texts is lost. With None every pair of every group is given, which grows with the square
+        of the largest group.
         """
-        few = F.col("n_copies") <= EXPANDED
+        few = F.col("n_copies") <= expanded if expanded is not None else F.lit(True)
         speak = self.copies.filter(few | (F.col("key") == F.col("first")))
         left = speak.select(F.col("id").alias("a"), F.col("key").alias("key_a"))
         right = speak.select(F.col("id").alias("b"), F.col("key").alias("key_b"))

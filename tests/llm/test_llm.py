@@ -150,11 +150,22 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_many_copies_make_a_star(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(f"c{i:03}", text) for i in range(80)] + [("other", text + " x y z")], "key string, text string")
-    got = {(r.a, r.b) for r in neardup.NearDuplicates(df).key_pairs().collect()}
-    assert got == {("c000", f"c{i:03}") for i in range(1, 80)} | {("c000", "other")}
+    near = neardup.NearDuplicates(df)
+    assert {(r.a, r.b) for r in near.key_pairs().collect()} == {("c000", f"c{i:03}") for i in range(1, 80)} | {("c000", "other")}
+    assert near.key_pairs(None).count() == 81 * 80 // 2
     assert neardup.NearDuplicates(df.limit(0)).key_pairs().count() == 0
 
 
+def test_ngrams_in_every_record(spark):
+    rnd = random.Random(8)
+    rows = [(f"k{i:03}", "to be continued " + " ".join(rnd.choice("abcdef") for _ in range(rnd.choice([40, 60, 90])))) for i in range(160)]
+    rows += [(f"x{i}", rows[i][1] + " z z") for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    # few words, so that nearly every n-gram is hot and its postings are salted
+    near = neardup.NearDuplicates(df, hot=10)
+    assert {(r.a, r.b) for r in near.key_pairs().collect()} == brute_pairs(rows, 3, 0.5, 40)
+
+
 # ---- 5: vectors
 
 
