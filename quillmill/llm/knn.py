@@ -38,10 +38,9 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 def usable_vectors(
     vectors: DataFrame, key: str, vector: str, at: str, dim: int, most_broadcast: int = BROADCAST_KEYS
 ) -> DataFrame:
-    """``key, vector`` with one vector for each key: that of its latest row, if it's usable.
+    """``key, vector`` with one vector for each key: that of its latest row, if it has ``dim`` elements (see :func:`unit_rows`).
 
-    Keys compare without white space at their ends; null and blank ones are left out. Usable are vectors of ``dim`` finite numbers, not all
-    zero. A null time is the earliest; of rows with the same time the vector with the largest hash counts. Repeated rows may
+    Keys compare without white space at their ends; null and blank ones are left out. A null time is the earliest; of rows with the same time the vector with the largest hash counts. Repeated rows may
     come out repeatedly. The vectors themselves aren't shuffled: keys with several rows are found on times and hashes.
     """
     time = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 63)))
@@ -53,14 +52,15 @@ def usable_vectors(
     ranges = hashed.groupBy("key").agg(F.max(state).alias("_last"), F.min(state).alias("_first"))
     several = stage(ranges.filter("_last <> _first").select("key", "_last"), "several")
     known = hashed.join(_small(several, most_broadcast), "key", "left")
-    v = F.col("vector")
-    ok = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     mine = F.col("_last").isNull() | (F.col("_last") == state)
-    return known.filter(mine & F.coalesce(ok, F.lit(False))).select("key", "vector")
+    return known.filter(mine & (F.size("vector") == dim)).select("key", "vector")
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
-    """``key, unit, mark``: vectors of length one as 32-bit floats in bytes, and a hash of these."""
+    """``key, unit, mark``: vectors of one size at length one, as 32-bit floats in bytes, and a hash of these.
+
+    Vectors with null, NaN or infinite elements, and such of zeros, give no row.
+    """
     ship(vectors.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -70,15 +70,14 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            col = b.column(1)
-            x = col.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # no square is lost or too large
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)  # a null is a NaN here
+            largest = np.abs(x).max(axis=1)
+            good = np.flatnonzero(np.isfinite(largest) & (largest > 0))
+            x = x[good] / largest[good, None]  # no square is lost or too large
             x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
-            data = np.ascontiguousarray(x).tobytes()
-            width = x.shape[1] * 4
-            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width)
-            unit = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, offsets.buffers()[1], pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([b.column(0), unit], ["key", "unit"])
+            offsets = pa.array(np.arange(len(good) + 1, dtype=np.int32) * (x.shape[1] * 4))
+            unit = pa.Array.from_buffers(pa.binary(), len(good), [None, offsets.buffers()[1], pa.py_buffer(x.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good)), unit], ["key", "unit"])
 
     rows = vectors.select("key", "vector").mapInArrow(run, "key string, unit binary")
     return rows.withColumn("mark", F.xxhash64("unit"))

@@ -125,7 +125,7 @@ def prose(text: Column) -> Column:
     Line ends become ``\\n``. What a note shows in code, or quotes in words, is its subject, not its residue.
     """
     t = _replace(text, text.contains("\r"), r"\r\n?", "\n")
-    t = _replace(t, t.contains("---\n"), r"(?s)\A\s*---\n.{0,4000}?\n---(?:\n|\z)", "\n")
+    t = _replace(t, t.contains("---\n"), r"(?s)\A\s*---\n.*?\n---(?:\n|\z)", "\n")
     fence = r"(?ms)^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[ \t]*$|\z)"
     t = _replace(t, t.contains("```") | t.contains("~~~"), fence, "\n")
     t = _replace(t, t.contains("`") | t.contains("$$"), r"`[^`\n]+`|\$\$[^$]{1,2000}\$\$", " § ")

@@ -80,8 +80,28 @@ def test_languages(spark, model):
 
 
 def test_backoff_to_ngrams(model):
-    v = model.vector("verschobener")
-    assert model.languages[int(np.argmax(v))] == "de"
+    v, known, weak = model.vector("verschobener")
+    assert model.languages[int(np.argmax(v))] == "de" and not known and not weak
+    assert model.vector("ж" * 50_000)[1:] == (0.0, 1.0)
+
+
+def test_confidence_and_unknown_languages(spark):
+    rnd = random.Random(3)
+    words = {k: (list(v) if k == "zh" else v.split()) for k, v in SENTENCES.items()}
+    rows = [(f"{k}{i}", k if i % 20 else "en", ("" if k == "zh" else " ").join(rnd.choice(words[k]) for _ in range(12)) + ".") for k in SENTENCES for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, label string, text string")
+    model = langid.fit([df])
+    foreign = {
+        "it": "Questa vecchia mappa degli orti venne messa altrove poiché nessuno ne aveva più bisogno.", "nl": "Deze oude kaart van de tuin werd verplaatst naar een andere map omdat niemand hem nodig had.",
+        "ru": "Старая карта сада была перенесена в другую папку, потому что она никому не нужна.", "ja": "このノートはとてもながいのでべつのフォルダーにうつしました。",
+    }
+    who = langid.Identifier(model)
+    assert all(who.records([t])[0][0] == langid.UNKNOWN for t in foreign.values())
+    long, short, mixed = who.records([SENTENCES["de"] + ".", "carta", f"{SENTENCES['en']}.\n{SENTENCES['fr']}."])
+    assert long[0] == "de" and short[1] < long[1] <= 1 and mixed[1] < 0.7
+    asked = spark.createDataFrame([(k, "ru", t) for k, t in foreign.items()], "key string, label string, text string")
+    assert langid.mislabelled(langid.languages(asked, model)).count() == 0
+    assert {r.lang for r in langid.languages(asked, model).collect()} == {"und"}
 
 
 # ---- 3: pairs
