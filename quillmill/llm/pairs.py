@@ -14,8 +14,8 @@ from quillmill.functions.text import trim_ws
 from quillmill.llm import langid
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
-# The classifier is fitted on at most so many pairs, those with the smallest hashes.
-SAMPLE_PAIRS = 2000
+# The classifier is fitted on about so many pairs at most, picked by a hash.
+SAMPLE_PAIRS = 1500
 # Places for hashed n-grams.
 PLACES = 1 << 13
 # Messages of a conversation are paired in stretches of so many places, so that a long one is no single task.
@@ -35,35 +35,26 @@ def question_answer_pairs(messages: DataFrame) -> DataFrame:
         .filter(F.col("role").isin("user", "assistant"))
         .dropna(subset=["conv_id", "seq", "msg_id"])
         .withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+        .repartition("conv_id", "stretch")
         .dropDuplicates(["conv_id", "stretch", "seq", "msg_id"])
     )
-    of_stretch = Window.partitionBy("conv_id", "stretch").orderBy("seq", "msg_id")
     message = F.struct("msg_id", "role", "text")
+    of_stretch = Window.partitionBy("conv_id", "stretch").orderBy("seq", "msg_id")
     placed = rows.select(
-        "conv_id",
-        "stretch",
-        "msg_id",
-        "role",
-        "text",
-        F.lead(message).over(of_stretch).alias("next"),
-        (F.row_number().over(of_stretch) == 1).alias("is_first"),
+        "*", F.lead(message).over(of_stretch).alias("next"), (F.row_number().over(of_stretch) == 1).alias("is_first")
     )
-    before = Window.partitionBy("conv_id").orderBy("stretch")
-    heads = rows.select("conv_id", "stretch").distinct()  # a row for each stretch only
-    links = heads.select("conv_id", F.lag("stretch").over(before).alias("stretch"), F.col("stretch").alias("_to"))
-    firsts = placed.filter("is_first").select("conv_id", F.col("stretch").alias("_to"), message.alias("_first"))
-    first_of_next = links.filter(F.col("stretch").isNotNull()).join(firsts, ["conv_id", "_to"]).drop("_to")
-
-    def as_pair(df: DataFrame, nxt: str) -> DataFrame:
-        return df.filter((F.col("role") == "user") & (F.col(f"{nxt}.role") == "assistant")).select(
-            F.col("msg_id").alias("question_id"),
-            F.col(f"{nxt}.msg_id").alias("answer_id"),
-            F.col("text").alias("question"),
-            F.col(f"{nxt}.text").alias("answer"),
+    # the first and the last message of each stretch, to be paired over its ends
+    ends = placed.filter(F.col("is_first") | F.col("next").isNull())
+    of_conv = Window.partitionBy("conv_id").orderBy("seq", "msg_id")
+    linked = ends.withColumn("_after", F.lead(message).over(of_conv)).filter(F.col("next").isNull()).withColumn("next", F.col("_after"))
+    return (
+        placed.filter(F.col("next").isNotNull()).unionByName(linked.drop("_after"))
+        .filter((F.col("role") == "user") & (F.col("next.role") == "assistant"))
+        .select(
+            F.col("msg_id").alias("question_id"), F.col("next.msg_id").alias("answer_id"),
+            F.col("text").alias("question"), F.col("next.text").alias("answer"),
         )
-
-    ends = placed.filter(F.col("next").isNull() & (F.col("role") == "user")).join(first_of_next, ["conv_id", "stretch"])
-    return as_pair(placed.filter(F.col("next").isNotNull()), "next").unionByName(as_pair(ends, "_first"))
+    )
 
 
 # ---- features of a pair -------------------------------------------------------------------------------------------------------
@@ -81,64 +72,94 @@ _ASKS = re.compile(
     r"(?i)\b(?:answer|reply|respond|write|translate|antworte\w*|schreib\w*|übersetz\w*|répon\w*|écri\w*|tradui\w*|respond\w*|contest\w*"
     r"|escrib\w*|escrev\w*|traduz\w*|traduc\w*|traduzir)\b|回答|回复|翻译|答复|写"
 )
-# The forms refusals take, by language; only to make training examples.
+# A small grammar of refusals, by language, to make training examples: ``(a|b)`` is a choice, ``{x}`` a name of the question.
+# Of each language the last rule is held out when the classifier is measured.
 _REFUSALS = {
     "en": (
-        "This is something I won't assist with, even though I understand why you are asking.", "There is nothing I am allowed to tell you about this.",
-        "My guidelines keep me from responding to this one. Is there something else you would like to know?",
-        "I'm sorry, but I can't help with that request.", "I would rather not comment on {x}.", "I'd prefer to leave {x} out of our conversation.",
-        "I am not able to answer questions about {x}, as this goes beyond what I may discuss.", "I cannot share an answer here.",
-        "Unfortunately, it isn't possible for me to give an answer here.", "As an assistant I must decline to go into this topic. Please ask somebody who is qualified.", "I won't discuss {x}.",
+        "(Sorry|I'm sorry|I apologise|Unfortunately|Regrettably), (but |)I (can't|cannot|am unable to|am not able to) (answer|discuss|respond to|assist with|help you with|talk about|share anything on) (this|that question|your request|{x}|questions about {x}).",
+        "I (won't|will not|would rather not|would prefer not to|prefer not to|don't want to) (answer|discuss|comment on|speak about|go into|support|help with) (this|that|such requests|{x}|anything on {x}).",
+        "I am not (allowed|permitted|supposed|authorised) to (answer|discuss|tell you anything about|give an answer on) (this|the matter|{x}).",
+        "(My rules|My guidelines|My instructions|The policy I follow) (don't allow|forbid|prevent|rule out) (me to answer|an answer|any reply|me from replying) (here|to this|on {x}).",
+        "(As an AI|As an assistant|Being an assistant), I (must|have to|need to) (decline|refuse|turn down) (this|your question|the request|to talk about {x}).",
+        "(That|This topic|{x}) (goes beyond|lies outside|is beyond) what I (may|can|am able to) (discuss|answer|share); (I'd like|I would prefer) to leave it out.",
     ),
     "de": (
-        "Das unterstütze ich nicht, auch wenn ich den Wunsch verstehe.", "Darüber darf ich nichts sagen.",
-        "Meine Vorgaben erlauben mir keine Antwort darauf. Möchtest du etwas anderes wissen?",
-        "Es tut mir leid, aber dabei kann ich nicht helfen.", "Über {x} möchte ich lieber nicht sprechen.", "Dazu kann ich leider nichts sagen.",
-        "Leider ist es mir nicht möglich, hierauf eine Antwort zu geben.", "Als Assistent muss ich diese Anfrage leider ablehnen.",
-        "Fragen zu {x} kann ich nicht beantworten, das geht über das hinaus, was ich besprechen darf.", "zu {x} möchte ich mich nicht äußern.",
+        "(Tut mir leid|Entschuldigung|Leider|Bedaure), (aber |)(hier|damit|bei {x}|bei dieser Bitte) kann ich (nicht helfen|nicht weiterhelfen|keine Auskunft geben|nichts beitragen).",
+        "(Diese Frage|Das|Fragen zu {x}) (kann|darf|werde|möchte) ich (leider |)nicht (beantworten|besprechen|unterstützen|kommentieren).",
+        "(Zu diesem Thema|Zu {x}|Darüber|Über {x}) (möchte|will|darf|werde) ich (lieber |)(nichts|nicht) (sagen|sprechen|reden|schreiben).",
+        "(Meine Regeln|Meine Richtlinien|Meine Anweisungen) (erlauben|gestatten) (mir das|es mir) (leider |)nicht.",
+        "(Als KI|Als Assistent|Als Assistentin) muss ich (diese Anfrage|diese Bitte|das|Fragen zu {x}) (ablehnen|zurückweisen).",
+        "Es ist mir (nicht möglich|nicht erlaubt|untersagt), (darauf|zu {x}) (zu antworten|Stellung zu nehmen|etwas zu äußern); das (geht über meine Aufgaben|liegt außerhalb dessen, was ich darf) hinaus.",
     ),
     "fr": (
-        "C'est une demande à laquelle je ne donnerai pas suite, même si je la comprends.", "Il ne m'est pas permis de parler de {x}, cela dépasse mon cadre.",
-        "Mes règles m'empêchent de répondre à cela. Souhaitez-vous savoir autre chose ?", "En tant qu'assistant, je dois refuser cette question. Adressez-vous à une personne compétente.",
-        "Je suis désolé, mais je ne peux pas vous aider sur ce point.", "Je préfère ne rien dire sur {x}.", "Il m'est impossible de donner une réponse ici.",
-        "Malheureusement, je ne peux pas répondre à cette demande.", "En tant qu'assistant, je dois refuser cette demande.",
-        "Je ne suis pas en mesure de répondre aux questions sur {x}, cela dépasse ce dont je peux parler.", "Je préférerais laisser {x} en dehors de notre conversation.",
+        "(Désolé|Pardon|Malheureusement|Navré), (mais |)je ne (peux|puis|saurais) pas (vous aider|répondre|donner suite|en parler) (ici|sur {x}|à cette demande|sur ce sujet).",
+        "Je (préfère|préférerais|souhaite) ne (pas|rien) (répondre|dire|commenter) (à ce sujet|sur {x}|ici).",
+        "Je ne suis pas (autorisé|habilité|en mesure) (à|de) (répondre|parler|discuter) (de {x}|de cela|sur ce point).",
+        "(Mes règles|Mes consignes|Mes instructions) (ne me permettent pas|m'interdisent) de (répondre|traiter cette question|parler de {x}).",
+        "(En tant qu'IA|En tant qu'assistant), je (dois|suis obligé de) (refuser|décliner) (cette demande|de parler de {x}).",
+        "Il (m'est impossible|ne m'est pas possible|m'est interdit) de (répondre|me prononcer sur {x}|vous renseigner); cela (dépasse|sort de) (mon rôle|ce que je peux aborder).",
     ),
     "es": (
-        "Es algo en lo que no voy a colaborar, aunque entiendo tu interés.", "No se me permite hablar de {x}, va más allá de mi tarea.",
-        "Mis normas me impiden responder a esto. ¿Quieres saber otra cosa?", "Por desgracia me resulta imposible dar aquí una respuesta; prefiero no opinar sobre {x}.",
-        "Lo siento, pero no puedo ayudarte con eso.", "Prefiero no opinar sobre {x}.", "Por desgracia, no me es posible dar una respuesta aquí.",
-        "Como asistente debo rechazar esta petición.", "No puedo responder preguntas sobre {x}, va más allá de lo que puedo comentar.",
-        "Preferiría dejar {x} fuera de nuestra conversación.", "Prefiero no hablar de {x}.",
+        "(Lo siento|Perdón|Lamentablemente|Disculpa), (pero |)no (puedo|podré|me es posible) (ayudarte|responder|contestar|hablar) (aquí|con esta petición|sobre {x}|de eso).",
+        "(Prefiero|Preferiría) no (responder|opinar|comentar|hablar) (nada |)(sobre {x}|de este tema|aquí).",
+        "No (tengo permitido|estoy autorizado a|debo) (responder|hablar|tratar) (esto|de {x}|esta pregunta).",
+        "(Mis reglas|Mis normas|Mis instrucciones) no me (permiten|dejan) (responder|hablar de {x}|ayudar con esto).",
+        "(Como IA|Como asistente), (debo|tengo que) (rechazar|declinar) (esta petición|esta pregunta|hablar de {x}).",
+        "No (voy a|quiero) (colaborar|ayudar|participar) (en esto|con {x}); (queda fuera|va más allá) de lo que (puedo|debo) (tratar|decir).",
     ),
     "pt": (
-        "Nisso eu não vou colaborar, embora entenda o motivo do pedido.", "Não me é permitido falar sobre {x}, isso vai além da minha tarefa.",
-        "As minhas regras impedem-me de responder a isto. Quer saber outra coisa?", "Como assistente, devo recusar esta pergunta. Procure uma pessoa qualificada.",
-        "Desculpe, mas não posso ajudar com esse pedido.", "Prefiro não opinar sobre {x}.", "Infelizmente, não me é possível dar uma resposta aqui.",
-        "Como assistente, tenho de recusar este pedido.", "Não posso responder a perguntas sobre {x}, isso vai além do que posso comentar.",
-        "Prefiro deixar {x} fora da nossa conversa.", "Lamento, mas não posso ajudar com isso.",
+        "(Desculpe|Lamento|Infelizmente|Sinto muito), (mas |)não (posso|consigo|me é possível) (ajudar|responder|falar|atender) (aqui|a esse pedido|sobre {x}|com isso).",
+        "(Prefiro|Preferiria) não (responder|opinar|comentar|falar) (nada |)(sobre {x}|deste assunto|aqui).",
+        "Não (tenho permissão para|estou autorizado a|devo) (responder|falar|tratar) (disso|de {x}|desta pergunta).",
+        "(As minhas regras|As minhas normas|Minhas instruções) não me (permitem|deixam) (responder|falar de {x}|ajudar nisso).",
+        "(Como IA|Como assistente), (devo|tenho de|preciso) (recusar|declinar) (esse pedido|falar de {x}).",
+        "Não (vou|quero) (colaborar|ajudar|participar) (nisso|com {x}); (fica fora|vai além) do que (posso|devo) (tratar|dizer).",
     ),
     "zh": (
-        "虽然我理解你的想法，但这件事我不会协助。", "关于{x}，我不被允许说明。", "我的准则不允许我回答这个问题。你还想了解别的吗？", "作为助手，我必须拒绝这个请求，请咨询专业人士。",
-        "很抱歉，这个问题我无法提供帮助。", "关于{x}的内容超出了我可以讨论的范围，恕我不能回答。", "我不方便谈论{x}。", "对不起，我不能回答这个问题。",
-        "作为助手，我只能拒绝这个请求。", "恕我不便对{x}发表看法。", "很遗憾，这里我无法给出回答。",
+        "(抱歉|对不起|不好意思|很遗憾)，(我|)(不能|无法|没法)(回答|讨论|谈论|协助|提供)(这个问题|该请求|{x}|相关内容|帮助)。",
+        "(我|)(不想|不愿|不便|不方便)(谈论|讨论|评论|回答)(这个话题|{x}|此事)(，请谅解|，请理解|)。",
+        "(我|)(不被允许|不可以|没有权限)(回答|讨论|说明)(这个问题|{x}|这些内容)。",
+        "我的(规则|规定|准则)(不允许|禁止)我(回答|讨论|谈论)(这个|{x}|此类问题)。",
+        "作为(助手|人工智能|AI)，我(必须|只能|不得不)(拒绝|婉拒)(这个请求|回答|谈论{x})。",
+        "(这件事|{x}的话题|你的要求)(超出|不属于)我(能够|可以)(谈论|协助|处理)的范围，(恕我|我)(不能|不会)(回答|帮忙|参与)。",
     ),
 }
 # What may stand around a refusal.
 _SOFTENERS = {
-    "en": ("Let me be open about this.", "I hope you understand.", "Feel free to ask me about your other notes.", "I see why this matters to you.", "Perhaps a specialist can take a look.", "Thank you for asking."),
-    "de": ("Ich möchte hier offen sein.", "Ich bitte um Verständnis.", "Bitte wende dich an eine Fachperson.", "Frag mich gern zu deinen anderen Notizen.", "Ich verstehe, dass dir das wichtig ist."),
-    "fr": ("Je préfère être franc.", "J'espère que vous comprendrez.", "Je comprends que cela compte pour vous.", "Une personne qualifiée pourra peut-être vous aider.", "Posez-moi volontiers une question sur vos autres notes."),
-    "es": ("Quiero ser claro.", "Espero que lo entiendas.", "Entiendo que esto es importante para ti.", "Puedes preguntarme por tus otras notas.", "Quizá pueda ayudarte un especialista."),
-    "pt": ("Quero ser claro.", "Espero que compreenda.", "Sei que isto é importante para você.", "Pode me perguntar sobre as suas outras notas.", "Talvez um especialista possa ajudar."),
-    "zh": ("我想直接说明。", "希望你能理解。", "你可以问我其他笔记的内容。", "我明白这对你很重要。", "也许可以请专业人士看看。"),
+    "en": ("Thanks for your question.", "I appreciate that you ask.", "I know that this (matters|is important).", "(Perhaps|Maybe) (an expert|someone else|a professional) can help.", "Is there anything else I can do?", "I hope (that|this) is all right."),
+    "de": ("Danke für die Nachricht.", "Ich weiß, dass das wichtig ist.", "(Vielleicht|Womöglich) hilft (ein Fachmann|eine Expertin|jemand anderes).", "Kann ich sonst etwas tun?", "Ich hoffe auf Verständnis."),
+    "fr": ("Merci (pour votre question|de votre message).", "Je sais que c'est important.", "(Un expert|Une spécialiste) pourra peut-être aider.", "Puis-je faire autre chose ?", "Merci de votre compréhension."),
+    "es": ("Gracias por (la pregunta|preguntar).", "Sé que esto es importante.", "(Un experto|Una especialista) quizá pueda ayudar.", "¿Puedo hacer otra cosa?", "Gracias por la comprensión."),
+    "pt": ("Obrigado por perguntar.", "Sei que isso é importante.", "Talvez (um especialista|uma profissional) possa ajudar.", "Posso fazer outra coisa?", "Agradeço a compreensão."),
+    "zh": ("谢谢提问。", "我知道这很重要。", "也许(专家|别人)可以帮忙。", "还有别的事吗？", "请见谅。"),
 }
+_CHOICE = re.compile(r"\(([^()]*)\)")
+
+
+def _said(rule: str, rnd: random.Random, name: str) -> str:
+    return _CHOICE.sub(lambda m: rnd.choice(m[1].split("|")), rule).replace("{x}", name)
+
+
+def made_refusal(lang: str, rnd: random.Random, name: str, held: bool | None = None) -> str:
+    """A refusal of the grammar; with ``held`` true by the held-out rules only, with false without them."""
+    rules = _REFUSALS[lang] if held is None else _REFUSALS[lang][-1:] if held else _REFUSALS[lang][:-1]
+    parts = [_said(rnd.choice(rules), rnd, name)]
+    if rnd.random() < 0.25:
+        parts.append(_said(rnd.choice(rules), rnd, name))
+    if rnd.random() < 0.4:
+        parts.insert(0, _said(rnd.choice(_SOFTENERS[lang]), rnd, name))
+    if rnd.random() < 0.4:
+        parts.append(_said(rnd.choice(_SOFTENERS[lang]), rnd, name))
+    return ("" if lang == "zh" else " ").join(parts)
+
+
 # Short but complete answers.
 _SHORT = {
     "en": ("Yes.", "No.", "Only once.", "No, not yet.", "On Monday."), "de": ("Ja.", "Nein.", "Nur einmal.", "Nein, noch nicht."), "fr": ("Oui.", "Non.", "Une seule fois.", "Non, pas encore."),
     "es": ("Sí.", "No.", "Solo una vez.", "No, todavía no."), "pt": ("Sim.", "Não.", "Só uma vez.", "Não, ainda não."), "zh": ("是的。", "不是。", "只有一次。", "还没有。"),
 }
-_EMPTY = ("", " ", "\n", " \t", "​", "...", "…", "-", "- \n- ", "```\n```", "\n\n", "***", "**", "> ", "| |", "—", "#", "()", "[]", "•")
+_TAG = re.compile(r"<[^<>\n]{1,30}>")
+_EMPTY = ("<br>", "<p></p>", "", " ", "\n", " \t", "​", "...", "…", "-", "- \n- ", "```\n```", "\n\n", "***", "**", "> ", "| |", "—", "#", "()", "[]", "•")
 _LABELS = {
     "en": ("Answer:", "Response:"), "de": ("Antwort:",), "fr": ("Réponse :", "Réponse:"), "es": ("Respuesta:",), "pt": ("Resposta:",), "zh": ("回答：", "答：", "答复："),
 }
@@ -209,7 +230,7 @@ def said(a: str) -> str:
 def pair_features(q: str, a: str, lang_q: tuple, lang_a: tuple) -> tuple[list[float], list[int]]:
     """Dense features and places of the hashed n-grams of a pair; ``lang_*`` are results of the language model."""
     wq, wa = _WORD.findall(q.lower()), _WORD.findall(a.lower())
-    content = sum(c.isalnum() for c in a)
+    content = sum(c.isalnum() for c in _TAG.sub("", a))
     bare = a.strip().strip("*_# ")
     # a few Latin words tell no language; Han characters do
     telling = len(wa) >= 6 or any("一" <= w <= "鿿" for w in wa) != any("一" <= w <= "鿿" for w in wq)
@@ -233,13 +254,13 @@ def pair_features(q: str, a: str, lang_q: tuple, lang_a: tuple) -> tuple[list[fl
     return dense, [_place(g) for g in grams]
 
 
-# Which blocks of features a defect's classifier sees: dense ones by index, and whether n-grams.
+# Which dense features a defect's classifier sees, by index, beside the n-grams that all of them see, and how many steps fit these.
 _SEES = {
-    "empty": ([0, 1, 2, 3, 12], False),
-    "truncated": ([0, 1, 2, 3, 4, 10, 12, 17], False),
-    "refusal": ([0, 3, 12], True),
-    "copy": ([0, 1, 3, 12, 13, 14, 15, 16, 17], False),
-    "wrong_language": ([0, 1, 12, 17, 18, 19, 20, 21], False),
+    "empty": ([0, 1, 2, 3, 12], 20),
+    "truncated": ([0, 1, 2, 3, 4, 10, 12, 17], 20),
+    "refusal": ([0, 3, 12], 250),
+    "copy": ([0, 1, 3, 12, 13, 14, 15, 16, 17], 20),
+    "wrong_language": ([0, 1, 12, 17, 18, 19, 20, 21], 20),
 }
 
 
@@ -254,10 +275,9 @@ class Classifier:
         import numpy as np
 
         out = np.asarray(dense) @ self.dense
-        k = DEFECTS.index("refusal")
         for i, g in enumerate(grams):
             if g:
-                out[i, k] += self.hashed[g].sum() / len(g)
+                out[i] += self.hashed[g].sum(axis=0) / len(g)
         return out
 
 
@@ -273,7 +293,9 @@ def _drop_words(text: str, rnd: random.Random) -> str:
     return " ".join(kept)
 
 
-def synthetic(pairs: list[tuple[str, str]], langs: list[str], rnd: random.Random) -> list[tuple[str, str, str]]:
+def synthetic(
+    pairs: list[tuple[str, str]], langs: list[str], rnd: random.Random, held_rules: bool | None = None
+) -> list[tuple[str, str, str]]:
     """``(question, answer, defect)``: a spoilt copy of each kind for sound pairs of known language."""
     by_lang: dict[str, list[str]] = {}
     for (_, a), lang in zip(pairs, langs, strict=True):
@@ -286,12 +308,7 @@ def synthetic(pairs: list[tuple[str, str]], langs: list[str], rnd: random.Random
             if body and body[-1] not in _TERMINAL and not body.endswith(("]]", "|", "```")):
                 out.append((q, body, "truncated"))
         name = next((w for w in re.findall(r"[A-Z]\w+", q)[1:]), "") or re.sub(r"[^一-鿿]", "", q)[3:6] or "X"
-        parts = [rnd.choice(_REFUSALS[lang]).format(x=name)]
-        if rnd.random() < 0.5:
-            parts.insert(0, rnd.choice(_SOFTENERS[lang]))
-        if rnd.random() < 0.5:
-            parts.append(rnd.choice(_SOFTENERS[lang]))
-        refusal = ("" if lang == "zh" else " ").join(parts)
+        refusal = made_refusal(lang, rnd, name, held_rules)
         out.append((q, rnd.choice((refusal, refusal, f"> {q}\n\n{refusal}", f"{name}: {refusal}")), "refusal"))
         forms = (q, q.upper(), q.lower(), f"> {q}\n", f"**{q}**", q.rstrip("?？ ") + rnd.choice((".", "…", "", "?")), "  ".join(q.lower().split()) + "…", _drop_words(q, rnd), q + "\n", f'"{q}"')
         if q.strip():
@@ -303,7 +320,7 @@ def synthetic(pairs: list[tuple[str, str]], langs: list[str], rnd: random.Random
             out.append((q, rnd.choice(by_lang[rnd.choice(others)]), "wrong_language"))
         # quotes of the question or of a refusal that go on are sound
         if rnd.random() < 0.3:
-            out.append((q, rnd.choice((f"> {q}\n\n{a}", f'"{parts[0]}" — {a}', f"{q} {a}", f"{a}\n\n> {parts[0]}")), ""))
+            out.append((q, rnd.choice((f"> {q}\n\n{a}", f'"{refusal}" — {a}', f"{q} {a}", f"{a}\n\n> {refusal}")), ""))
     return out
 
 
@@ -323,18 +340,15 @@ def _logistic(x, y, l2: float, steps: int = 60):
     return w
 
 
-def _logistic_hashed(x, grams, y, steps: int = 400, rate: float = 0.5, l2: float = 1e-6):
-    """The same with mean-pooled hashed n-grams, by AdaGrad over the whole sample."""
+def _logistic_hashed(x, bag, y, w, steps: int, rate: float = 0.5, l2: float = 1e-6):
+    """The same with mean-pooled hashed n-grams, by AdaGrad over the whole sample, from the weights ``w`` of the dense features on."""
     import numpy as np
 
-    flat = np.concatenate([np.asarray(g, np.int64) for g in grams]) if grams else np.zeros(0, np.int64)
-    lens = np.array([len(g) for g in grams])
-    owner = np.repeat(np.arange(len(grams)), lens)
-    per = 1.0 / np.maximum(1, lens)
-    w, v = np.zeros(x.shape[1]), np.zeros(PLACES)
+    flat, owner, per = bag
+    v, w = np.zeros(PLACES), w.copy()
     gw, gv = np.full(x.shape[1], 1e-8), np.full(PLACES, 1e-8)
     for _ in range(steps):
-        z = x @ w + np.bincount(owner, v[flat], len(grams)) * per
+        z = x @ w + np.bincount(owner, v[flat], len(y)) * per
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         dw = x.T @ d + l2 * w
         dv = np.bincount(flat, (d * per)[owner], PLACES) + l2 * v
@@ -345,6 +359,15 @@ def _logistic_hashed(x, grams, y, steps: int = 400, rate: float = 0.5, l2: float
     return w, v
 
 
+def _bag(grams):
+    """(places, their rows, one over the number of each row's places)."""
+    import numpy as np
+
+    lens = np.array([len(g) for g in grams])
+    flat = np.fromiter((p for g in grams for p in g), np.int64, lens.sum())
+    return flat, np.repeat(np.arange(len(grams)), lens), 1.0 / np.maximum(1, lens)
+
+
 def _threshold(scores, y) -> float:
     """The cut of the best F1 on held-out rows; in the middle of the gap it falls in."""
     import numpy as np
@@ -357,21 +380,21 @@ def _threshold(scores, y) -> float:
     return float((scores[order[k]] + nxt) / 2)
 
 
-def train(sample: list[tuple[str | None, str | None]], languages: langid.Model, seed: int = 7) -> Classifier:
+def train(sample: list[tuple[str | None, str | None]], languages: langid.Model, seed: int = 7, held_rules: bool | None = None) -> Classifier:
     """Fit on sampled pairs and their spoilt copies.
 
-    The sample holds defective pairs of its own: those that the first classifier finds are left out of the second fit. Every fourth pair is
-    held out, with its copies, for the thresholds.
+    The sample holds defective pairs of its own, which would count as sound: those that score as high as the made cases but for the lowest
+    tenth, by a classifier of few steps, are left out of the next fit. Every fourth pair is held out, with its copies, for the thresholds. With ``held_rules=False`` refusals are made without the rules held out for measuring.
     """
     import numpy as np
 
     who = langid.Identifier(languages)
     pairs = [(q or "", a or "") for q, a in sample]
-    clf = None
-    for _ in range(3):
+    clf, suspect = None, None
+    for share in (0.1, 0.25, 1.0):
         if clf is not None:
             dense, grams = _featured(pairs, who)
-            sound = (clf.scores(dense, grams) < clf.thresholds).all(axis=1)
+            sound = (clf.scores(dense, grams) < np.minimum(clf.thresholds, suspect)).all(axis=1)
             kept = [p for p, ok in zip(pairs, sound, strict=True) if ok]
             pairs = kept if len(kept) >= 20 else pairs
         else:
@@ -381,41 +404,42 @@ def train(sample: list[tuple[str | None, str | None]], languages: langid.Model,
         known = [(p, j[0]) for p, j in zip(pairs, judged, strict=True) if j[0] in _REFUSALS]
         rows, held = [(q, a, "") for q, a in pairs], [i % 4 == 0 for i in range(len(pairs))]
         for i, (p, lang) in enumerate(known):
-            made = synthetic_for(p, lang, known, rnd)
+            made = synthetic_for(p, lang, known, rnd, held_rules)
             rows += made
             held += [i % 4 == 0] * len(made)
         dense, grams = _featured([(q, a) for q, a, _ in rows], who)
         x, out = np.array(dense), np.array(held)
-        weights, hashed, cuts = np.zeros((x.shape[1], len(DEFECTS))), np.zeros(PLACES), []
+        bag, every = _bag([g for g, o in zip(grams, out, strict=True) if not o]), _bag(grams)
+        weights, hashed, cuts, suspect = np.zeros((x.shape[1], len(DEFECTS))), np.zeros((PLACES, len(DEFECTS))), [], np.full(len(DEFECTS), np.inf)
         for k, defect in enumerate(DEFECTS):
             y = np.array([d == defect for _, _, d in rows], float)
-            cols, with_grams = _SEES[defect]
-            if with_grams:
-                train_at = np.flatnonzero(~out)
-                w, hashed = _logistic_hashed(x[~out][:, cols], [grams[i] for i in train_at], y[~out])
-                weights[cols, k] = w
-            else:
-                weights[cols, k] = _logistic(x[~out][:, cols], y[~out], 0.1)
-            z = x @ weights[:, k]
-            if with_grams:
-                z += np.array([hashed[g].sum() / len(g) if g else 0.0 for g in grams])
+            cols, steps = _SEES[defect]
+            steps = int(np.ceil(steps * share))
+            start = _logistic(x[~out][:, cols], y[~out], 0.1)
+            # few steps from the dense weights on where n-grams hardly tell, so that they only correct
+            weights[cols, k], hashed[:, k] = _logistic_hashed(x[~out][:, cols], bag, y[~out], start, steps, 0.5 if defect == "refusal" else 0.05)
+            z = x @ weights[:, k] + np.bincount(every[1], hashed[every[0], k], len(x)) * every[2]
             cuts.append(_threshold(z[out], y[out]) if y[out].any() else np.inf)
+            if y[out].any():
+                suspect[k] = np.quantile(z[out & (y > 0)], 0.1)
         clf = Classifier(weights, hashed, np.array(cuts), languages)
     return clf
 
 
-def synthetic_for(pair: tuple[str, str], lang: str, known: list, rnd: random.Random) -> list[tuple[str, str, str]]:
+def synthetic_for(
+    pair: tuple[str, str], lang: str, known: list, rnd: random.Random, held_rules: bool | None = None
+) -> list[tuple[str, str, str]]:
     """The spoilt copies of one pair; the swapped answer is drawn from all of another language."""
     other = rnd.choice(known)
     near = [(pair, lang)] + ([other] if other[1] != lang else [])
-    made = synthetic([p for p, _ in near], [x for _, x in near], rnd)
+    made = synthetic([p for p, _ in near], [x for _, x in near], rnd, held_rules)
     return [m for m in made if m[0] == pair[0]]
 
 
 def fit(pairs: DataFrame, languages: langid.Model, sample_pairs: int = SAMPLE_PAIRS) -> Classifier:
-    """:func:`train` on a bounded sample: the pairs with the smallest hashes."""
-    picked = pairs.select("question", "answer", F.xxhash64("question_id", "answer_id").alias("_h")).orderBy("_h").limit(sample_pairs)
-    rows = [(r["question"], r["answer"]) for r in picked.toLocalIterator()]
+    """:func:`train` on a bounded sample, picked by a hash."""
+    some = langid.picked(pairs, F.hash("question_id", "answer_id"), sample_pairs, "pairs").select("question", "answer").toArrow()
+    rows = sorted(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True), key=lambda r: (r[0] or "", r[1] or ""))
     return train(rows, languages)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import trim_ws
 from quillmill.llm import bpe, knn, langid, mix, neardup, pairs, residue, split
-from quillmill.runtime import read_table
+from quillmill.runtime import read_table, stage
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     model = langid.fit(labelled(spark, d)[1:])
-    found = pairs.question_answer_pairs(read_table(spark, d, "chat_messages"))
+    found = stage(pairs.question_answer_pairs(read_table(spark, d, "chat_messages")), "pairs")
     return pairs.defects(found, pairs.fit(found, model)).distinct()
 
 
