@@ -33,3 +33,8 @@ def manifest(chunks: DataFrame) -> DataFrame:
     """``file_path, chunk_ids``: each file's chunk ids by serial."""
     ids = F.sort_array(F.collect_list(F.struct("serial", "id")))
     return chunks.groupBy("file_path").agg(F.transform(ids, lambda x: x["id"]).alias("chunk_ids"))
+
+
+def canonical(chunks: DataFrame) -> DataFrame:
+    """Chunks in their canonical order: by path, then serial, then id."""
+    return chunks.orderBy("file_path", "serial", "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import distinct_tokens, memory_id, phrase
+from quillmill.functions.text import collapse_ws, distinct_tokens, memory_id, phrase
 
 MONTH_MS = 30 * 86_400_000
 
@@ -60,3 +60,10 @@ def touch(memories: DataFrame, hits: DataFrame, now_ms: int) -> DataFrame:
     named = hits.select("id").distinct().withColumn("_hit", F.lit(True))
     at = F.when(F.col("_hit"), F.lit(now_ms).cast("bigint")).otherwise(F.col("last_accessed_at"))
     return memories.join(named, "id", "left").withColumn("last_accessed_at", at).drop("_hit")
+
+
+def context(hits: DataFrame, memories: DataFrame) -> DataFrame:
+    """``query_id, memory``: the texts of the memories that were hit, a line each, the best first."""
+    rows = hits.select("query_id", "id", "pos").join(memories.select("id", "text"), "id")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", F.concat(F.lit("- "), collapse_ws(F.coalesce("text", F.lit("")))).alias("line"))))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("memory"))

@@ -9,7 +9,7 @@ from quillmill.functions.text import distinct_tokens, join_holes, phrase
 
 
 def _final(rows: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("final_score").desc(), "pos")
+    order = Window.partitionBy("query_id").orderBy(F.round("final_score", 9).desc(), "pos")
     return rows.filter(F.col("pos") <= k).withColumn("final_pos", F.row_number().over(order))
 
 
@@ -30,11 +30,12 @@ def remote(candidates: DataFrame, scores: DataFrame, k: int = 8) -> DataFrame:
 def heuristic(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     """0.4 retrieval score + 0.15 for each shared token + 1.5 for the phrase + 1 for it in the headings + 0.6 vector + 0.05 keyword score."""
     asked = queries.select("query_id", phrase("text").alias("_q"), distinct_tokens("text").alias("_qt"))
-    texts = chunks.select(
-        F.col("id").alias("chunk_id"), phrase("searchable_text").alias("_t"), phrase(join_holes("heading_path", " ")).alias("_h"),
-        distinct_tokens("searchable_text").alias("_tt"),
-    )
+    # the texts join raw: only those of candidates are taken apart
+    texts = chunks.select(F.col("id").alias("chunk_id"), F.col("searchable_text").alias("_text"), F.col("heading_path").alias("_path"))
     rows = candidates.filter(F.col("pos") <= k).join(texts, "chunk_id").join(asked, "query_id")
+    rows = rows.withColumns(
+        {"_t": phrase("_text"), "_h": phrase(join_holes("_path", " ")), "_tt": distinct_tokens("_text")}
+    ).drop("_text", "_path")
     overlap = F.size(F.array_intersect("_qt", "_tt"))
     asked_any = F.col("_q") != ""
     score = (

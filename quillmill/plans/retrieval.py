@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.functions.vectors import norm, unit
-from quillmill.operators import answer, chunking, conversation, index, memory, rerank, search, sync
+from quillmill.operators import answer, chunking, conversation, index, memory, pipeline, rerank, search, sync
 from quillmill.plans.integrity import WS_RE2
 from quillmill.runtime import read_table
 from quillmill.streaming import changes
@@ -91,6 +91,18 @@ def _reranked(spark, d):
     return rerank.heuristic(_fused(spark, d), questions(spark), _texts(spark, d), 8)
 
 
+def _chunk_reranked(spark, d):
+    """Keyword hits over the chunks, which have headings, reranked."""
+    hits = search.as_candidates(_keyword(spark, d), "keyword")
+    return rerank.heuristic(hits, questions(spark), chunk_rows(spark, d), 8)
+
+
+def _prepared_answers(spark, d):
+    """The whole way of the questions over the chunks, without a model: keyword mode, the answers are the fallbacks."""
+    made = pipeline.prepare(questions(spark), pipeline.Index(chunk_rows(spark, d), _posts(spark, d)))
+    return pipeline.answers(made, None).select("query_id", "answer")
+
+
 def _r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
@@ -149,12 +161,16 @@ QUERIES = {
     "a10_vector_stats": lambda s, d: index.vector_stats(embedding_rows(s, d)),
     "a12_file_manifest": lambda s, d: index.manifest(chunk_rows(s, d)).select("file_path", F.array_join("chunk_ids", "\n").alias("chunk_ids")),
     "a13_content_hash": lambda s, d: chunk_rows(s, d).select("id", T.content_hash("text").alias("content_hash")),
-    "r1_keyword_search": lambda s, d: _keyword(s, d).select("query_id", "chunk_id", _r("score"), "n_matched", "pos"),
+    "r1_keyword_search": lambda s, d: _keyword(s, d).select("query_id", "chunk_id", _r("score"), "n_matched", F.array_join("matched_tokens", " ").alias("matched_tokens"), "pos"),
     "r2_vector_search": lambda s, d: _vector(s, d).select("query_id", "chunk_id", _r("score"), "pos"),
     "r3_hybrid_search": lambda s, d: _fused(s, d).select("query_id", "chunk_id", _r("score"), _r("keyword_score"), _r("vector_score"), F.array_join("channels", "+").alias("channels"), "pos"),
     "r5_rerank_off": lambda s, d: rerank.off(_fused(s, d)).select("query_id", "chunk_id", _r("final_score"), "final_pos"),
     "r7_heuristic_rerank": lambda s, d: _reranked(s, d).select("query_id", "chunk_id", _r("final_score"), "final_pos"),
     "r12_answer_sources": flagship,
+    "r7_chunk_rerank": lambda s, d: _chunk_reranked(s, d).select("query_id", "chunk_id", _r("final_score"), "final_pos"),
+    "r12_chunk_sources": lambda s, d: answer.sources(_chunk_reranked(s, d), chunk_rows(s, d)),
+    "r15_prepared_answers": lambda s, d: _prepared_answers(s, d),
+    "r19_vector_sync_plan": lambda s, d: sync.vector_plan(read_table(s, d, "chunks"), read_table(s, d, "chunk_vectors")),
     "r9_last_turns": lambda s, d: conversation.last_turns(message_rows(s, d)),
     "r25_trimmed_log": lambda s, d: conversation.trim(message_rows(s, d), 20).select("conv_id", "seq", "msg_id", "role"),
     "r21_memory_search": lambda s, d: memory.search(memory_rows(s, d), questions(s), NOW_MS, 4).select("query_id", "id", _r("score"), "pos"),
@@ -219,32 +235,75 @@ def _kw(rows: str) -> str:
 p AS (SELECT id AS chunk_id, token, count(*) AS tf FROM (SELECT id, unnest({_tokens('searchable_text')}) AS token FROM {rows}) GROUP BY ALL),
 w AS (SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest({_tokens('text')}) AS token FROM q)),
 df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
-b AS (SELECT query_id, chunk_id, sum(tf * (ln(((SELECT count(*) FROM {rows}) + 1.0) / (df + 1.0)) + 1)) AS base, count(*) AS n_matched
+b AS (SELECT query_id, chunk_id, string_agg(token, ' ' ORDER BY token) AS matched_tokens, sum(tf * (ln(((SELECT count(*) FROM {rows}) + 1.0) / (df + 1.0)) + 1)) AS base, count(*) AS n_matched
   FROM p JOIN w USING (token) JOIN df USING (token) GROUP BY ALL),
-s AS (SELECT query_id, chunk_id, n_matched, base + CASE WHEN contains({_phrase('c.searchable_text')}, {_phrase('q.text')}) THEN 3 ELSE 0 END
+s AS (SELECT query_id, chunk_id, n_matched, matched_tokens, base + CASE WHEN contains({_phrase('c.searchable_text')}, {_phrase('q.text')}) THEN 3 ELSE 0 END
     + CASE WHEN contains({_phrase("coalesce(list_reduce(list_transform(c.heading_path, lambda h: coalesce(h, '')), lambda a, h: a || ' ' || h, ''), '')")}, {_phrase('q.text')}) THEN 2 ELSE 0 END
     + 0.3 * n_matched AS score
   FROM b JOIN {rows} c ON c.id = chunk_id JOIN q USING (query_id)),
-kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM s) WHERE pos <= 10)"""
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS pos FROM s) WHERE pos <= 10)"""
 
 
 _VEC = """
 v AS (SELECT q.query_id, e.chunk_id, list_dot_product(a.vector, e.vector) AS score FROM q JOIN e a ON a.chunk_id = q.vid::VARCHAR CROSS JOIN e),
-vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM v) WHERE pos <= 10)"""
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS pos FROM v) WHERE pos <= 10)"""
 _HYBRID = f"""WITH {_Q}, {_DOC}, {_EMB}, {_kw('tx')}, {_VEC},
 h0 AS (SELECT coalesce(kw.query_id, vec.query_id) AS query_id, coalesce(kw.chunk_id, vec.chunk_id) AS chunk_id,
     coalesce(1.0::DOUBLE / (60 + kw.pos), 0) + coalesce(1.0::DOUBLE / (60 + vec.pos), 0) AS score, kw.score AS keyword_score, vec.score AS vector_score,
     concat_ws('+', CASE WHEN kw.pos IS NOT NULL THEN 'keyword' END, CASE WHEN vec.pos IS NOT NULL THEN 'vector' END) AS channels
   FROM kw FULL OUTER JOIN vec ON kw.query_id = vec.query_id AND kw.chunk_id = vec.chunk_id),
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM h0) WHERE pos <= 12)"""
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS pos FROM h0) WHERE pos <= 12)"""
 _RERANK = f"""{_HYBRID},
 r0 AS (SELECT h.*, 0.4 * h.score + 0.15 * len(list_intersect(list_distinct({_tokens('q.text')}), list_distinct({_tokens('tx.searchable_text')})))
     + CASE WHEN contains({_phrase('tx.searchable_text')}, {_phrase('q.text')}) THEN 1.5 ELSE 0 END
     + CASE WHEN vector_score > 0 THEN 0.6 * vector_score ELSE 0 END + CASE WHEN keyword_score > 0 THEN 0.05 * keyword_score ELSE 0 END AS final_score
   FROM h JOIN tx ON tx.id = h.chunk_id JOIN q USING (query_id) WHERE h.pos <= 8),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, pos) AS final_pos FROM r0)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, pos) AS final_pos FROM r0)"""
+
+_CHUNK_RERANK = f"""WITH {_Q}, {_CH}, {_kw('ch')},
+r0 AS (SELECT kw.*, 0.4 * score + 0.05 * score + 0.15 * len(list_intersect(list_distinct({_tokens('q.text')}), list_distinct({_tokens('ch.searchable_text')})))
+    + CASE WHEN contains({_phrase('ch.searchable_text')}, {_phrase('q.text')}) THEN 1.5 ELSE 0 END
+    + CASE WHEN contains({_phrase("coalesce(list_reduce(list_transform(ch.heading_path, lambda h: coalesce(h, '')), lambda a, h: a || ' ' || h, ''), '')")}, {_phrase('q.text')}) THEN 1 ELSE 0 END AS final_score
+  FROM kw JOIN ch ON ch.id = kw.chunk_id JOIN q USING (query_id) WHERE kw.pos <= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, pos) AS final_pos FROM r0)"""
+_CONTEXT = f"""{_RERANK},
+cx AS (SELECT query_id, string_agg('[' || final_pos || '] ' || file_path || chr(10) || 'Heading: (no heading)' || chr(10) || 'Found by: ' || replace(channels, '+', ' + ')
+    || chr(10) || '```' || chr(10) || tx.text || chr(10) || '```', chr(10) || chr(10) ORDER BY final_pos) AS context
+  FROM r JOIN tx ON tx.id = r.chunk_id GROUP BY query_id)"""
+_UNITS16 = """flatten(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT]
+  ELSE [55296 + ((unicode(c)::BIGINT - 65536) // 1024), 56320 + ((unicode(c)::BIGINT - 65536) % 1024)] END))"""
+
+
+def _fallback(rows: str, texts: str, mode: str, heading: str) -> str:
+    return f"""{rows},
+f AS (SELECT query_id, string_agg(final_pos || '. ' || file_path || {heading} || ': ' || {_excerpt("coalesce(x.text, '')", 220)}, chr(10) ORDER BY final_pos) AS f
+  FROM r JOIN {texts} x ON x.id = r.chunk_id GROUP BY query_id)
+SELECT query_id, 'Question: ' || text || chr(10) || coalesce('Most relevant passages ({mode}):' || chr(10) || f, 'Nothing relevant was found.') AS answer
+FROM q LEFT JOIN f USING (query_id)"""
+
 
 SQL = {
+    "a13_content_hash": f"""WITH {_CH}, n AS (SELECT id, text, {_UNITS16} AS u FROM ch)
+SELECT id, CASE WHEN text IS NOT NULL THEN len(u) || ':' || printf('%x', list_reduce(u, lambda a, x: (xor(a, x) * 16777619) % 4294967296, 2166136261::BIGINT)) END AS content_hash FROM n""",
+    "r10_context": f"{_CONTEXT} SELECT query_id, context FROM cx",
+    "r11_prompt": f"""{_CONTEXT} SELECT query_id, 'You answer questions about a collection of notes. Use only the context, cite the numbers of what you use, and say so if it does not suffice.' AS system,
+  'Scope: the whole vault' || chr(10) || 'Conversation:' || chr(10) || chr(10) || 'Memory:' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Context:' || chr(10) || context AS "user"
+FROM q JOIN cx USING (query_id)""",
+    "r14_fallback_answer": _fallback(_RERANK, "tx", "hybrid", "''"),
+    "r15_prepared_answers": _fallback(_CHUNK_RERANK, "ch", "keyword", "CASE WHEN primary_heading <> '' THEN ' # ' || primary_heading ELSE '' END"),
+    "r7_chunk_rerank": f"{_CHUNK_RERANK} SELECT query_id, chunk_id, round(final_score, 6) AS final_score, final_pos::INT AS final_pos FROM r",
+    "r12_chunk_sources": f"""{_CHUNK_RERANK},
+f AS (SELECT r.query_id, r.final_pos, file_path, primary_heading, ch.text, row_number() OVER (PARTITION BY r.query_id, file_path, primary_heading ORDER BY final_pos) AS rn
+  FROM r JOIN ch ON ch.id = r.chunk_id),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_pos) AS n FROM f WHERE rn = 1)
+SELECT query_id, n::INT AS n, file_path, primary_heading AS heading,
+  CASE WHEN primary_heading <> '' THEN '[[' || file_path || '#' || primary_heading || ']]' ELSE '[[' || file_path || ']]' END AS display_link, {_excerpt('text', 180)} AS excerpt FROM g WHERE n <= 5""",
+    "r19_vector_sync_plan": f"""WITH c AS (SELECT DISTINCT {_trim('id')} AS id FROM chunks), v AS (SELECT DISTINCT {_trim('chunk_id')} AS id FROM chunk_vectors WHERE {_trim('chunk_id')} <> '')
+SELECT coalesce(c.id, v.id) AS chunk_id, CASE WHEN c.id IS NULL THEN 'remove' ELSE 'embed' END AS action FROM c FULL OUTER JOIN v ON c.id = v.id WHERE c.id IS NULL OR v.id IS NULL""",
+    "r23_memory_upsert": f"""WITH {_MEM}, {_MSG}, s AS (SELECT msg_id AS pos, text, {_phrase('text')} AS norm FROM m WHERE role = 'assistant'),
+n AS (SELECT norm, arg_max(text, pos) AS nt FROM s WHERE norm <> '' GROUP BY norm), o AS (SELECT *, {_phrase('text')} AS norm FROM mem)
+SELECT coalesce(nt, text) AS text, coalesce(created_at, {NOW_MS}) AS created_at, CASE WHEN nt IS NOT NULL THEN {NOW_MS} ELSE updated_at END AS updated_at
+FROM o FULL OUTER JOIN n ON o.norm = n.norm""",
     "e3_quiet_flushes": """WITH g AS (SELECT ts, user_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 15 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),
 s AS (SELECT *, sum(fresh) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS w FROM g)
 SELECT epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 15000000 AS end_us, array_to_string(list_sort(list_distinct(list('u' || user_id || '.md'))), ' ') AS paths FROM s GROUP BY w""",
@@ -266,7 +325,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS
     "a9_kb_stats": f"SELECT count(DISTINCT file_path) AS file_count, count(DISTINCT {_trim('id')}) AS chunk_count FROM chunks",
     "a10_vector_stats": f"WITH {_EMB} SELECT count(*) AS vector_count, max(len(vector))::INT AS dimension, count(*) > 0 AS ready FROM e",
     "a12_file_manifest": f"WITH {_CH} SELECT file_path, string_agg(id, chr(10) ORDER BY serial, id) AS chunk_ids FROM ch GROUP BY file_path",
-    "r1_keyword_search": f"WITH {_Q}, {_CH}, {_kw('ch')} SELECT query_id, chunk_id, round(score, 6) AS score, n_matched, pos::INT AS pos FROM kw",
+    "r1_keyword_search": f"WITH {_Q}, {_CH}, {_kw('ch')} SELECT query_id, chunk_id, round(score, 6) AS score, n_matched, matched_tokens, pos::INT AS pos FROM kw",
     "r2_vector_search": f"WITH {_Q}, {_EMB}, {_VEC} SELECT query_id, chunk_id, round(score, 6) AS score, pos::INT AS pos FROM vec",
     "r3_hybrid_search": f"{_HYBRID} SELECT query_id, chunk_id, round(score, 6) AS score, round(keyword_score, 6) AS keyword_score, round(vector_score, 6) AS vector_score, channels, pos::INT AS pos FROM h",
     "r5_rerank_off": f"{_HYBRID} SELECT query_id, chunk_id, round(score, 6) AS final_score, pos::INT AS final_pos FROM h WHERE pos <= 8",

@@ -168,3 +168,27 @@ def generate(chat: Chat | None, system: str, user: str, temperature: float, fall
     except Exception:  # noqa: BLE001
         text = ""
     return text.strip() or fallback
+
+
+def extract_memories(turns: DataFrame, chat: Chat | None) -> DataFrame:
+    """``pos, text``: what a model finds worth keeping in turns ``(query_id, text, answer)``; without one, or on an error, nothing."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        system = 'List lasting facts about the user from this turn. Reply as JSON: {"memories": ["..."]}'
+        for b in frames:
+            at, found = [], []
+            for i, (question, said) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                try:
+                    user = f"User: {question}\nAssistant: {said}"
+                    raw = chat.chat([{"role": "system", "content": system}, {"role": "user", "content": user}], 0.0, True) if chat else ""
+                except Exception:  # noqa: BLE001
+                    raw = ""
+                for x in memory_statements(raw):
+                    at.append(i)
+                    found.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.string())], ["pos", "text"])
+
+    kind = turns.schema["query_id"].dataType.simpleString()
+    return turns.select("query_id", "text", "answer").mapInArrow(run, f"pos {kind}, text string")

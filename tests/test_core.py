@@ -213,3 +213,94 @@ def test_entry_queries_without_the_optional_subpackage():
 
     names = set(entry.queries())
     assert {"r12_answer_sources", "p6_found"} <= names and set(entry.oracle_sql()) <= names
+
+
+# ---- the composed way of a question
+
+
+class _Broken:
+    def chat(self, messages, temperature, as_json=False):
+        raise OSError("down")
+
+    def rerank(self, query, documents):
+        raise OSError("down")
+
+
+class _Echo:
+    def chat(self, messages, temperature, as_json=False):
+        if not as_json:
+            return "said: " + str("Context:" in messages[1]["content"])
+        return '{"rewritten_query": "lamp oil", "memories": ["Likes lamps", " "]}'
+
+    def rerank(self, query, documents):
+        return [{"idx": i, "score": float("lamp" in d)} for i, d in enumerate(documents)]
+
+
+def _vault(spark):
+    from quillmill.operators import index
+    from quillmill.operators.pipeline import Index
+    from quillmill.sources.models import HashEmbedder, embed_chunks
+
+    rows = [
+        ("a::1", "a.md", ["Lamps", None], "Lamps", "the lamp needs oil", "a\nLamps\nthe lamp needs oil", 0), ("b::1", "b.md", [], None, "a map of the garden", "b\na map of the garden", 0),
+        ("b::2", "b.md", [""], "", "the garden wall", "b\nthe garden wall", 1), ("c::1", "c.md", None, None, None, None, 0),
+    ]
+    chunks = spark.createDataFrame(rows, "id string, file_path string, heading_path array<string>, primary_heading string, text string, searchable_text string, serial int")
+    return Index(chunks, index.postings(chunks), embed_chunks(chunks.filter("text is not null"), HashEmbedder()))
+
+
+def test_prepare_and_answer(spark):
+    from quillmill.config import Settings
+    from quillmill.operators import pipeline
+    from quillmill.sources.models import HashEmbedder
+
+    vault = _vault(spark)
+    asked = spark.createDataFrame([(1, 7, "the garden"), (2, 8, "zzz"), (3, 7, "")], "query_id int, conv_id int, text string")
+    talk = spark.createDataFrame([(7, 1, 1, "user", "hello there"), (7, 2, 2, "assistant", "hi")], "conv_id int, seq int, msg_id int, role string, text string")
+    notes = spark.createDataFrame([("m", "garden  plans", 0, 0, 0)], "id string, text string, created_at long, updated_at long, last_accessed_at long")
+    made = pipeline.prepare(asked, pipeline.Index(vault.chunks, vault.postings), messages=talk, memories=notes)
+    assert made.mode == "keyword"
+    got = {r.query_id: r for r in made.candidates.filter("pos = 1").collect()}
+    assert set(got) == {1} and got[1].chunk_id.startswith("b") and made.sources.filter("query_id = 1").count() == 3
+    user = made.prompts.first().user
+    assert "User: hello there" in user and "- garden plans" in user and "Question: the garden" in user
+    for chat, by in ((_Echo(), True), (_Broken(), False), (None, False)):
+        out = {r.query_id: r for r in pipeline.answers(made, chat).collect()}
+        assert out[1].by_model is by and not out[2].by_model and "Nothing relevant" in out[2].answer
+        assert ("said: True" if by else "b.md") in out[1].answer
+    log, kept = pipeline.turn(asked.filter("query_id = 1"), talk, made, pipeline.answers(made, _Echo()).filter("query_id = 1"), notes, _Echo(), 99)
+    assert [(r.seq, r.role) for r in log.orderBy("seq").collect()] == [(1, "user"), (2, "assistant"), (3, "user"), (4, "assistant")]
+    assert {r.text: r.last_accessed_at for r in kept.collect()} == {"garden  plans": 99, "Likes lamps": 99}
+    # rewriting, vectors and an outside reranker; where the last fails, the heuristic
+    hybrid = pipeline.prepare(asked, vault, embedder=HashEmbedder(), chat=_Echo(), reranker=_Echo())
+    assert hybrid.mode == "hybrid" and hybrid.reranked.filter("query_id = 1 and final_pos = 1").first().chunk_id == "a::1"
+    assert "Searched for: lamp oil" in hybrid.prompts.filter("query_id = 1").first().user
+    down = pipeline.prepare(asked, vault, embedder=HashEmbedder(), reranker=_Broken())
+    own = pipeline.prepare(asked, vault, embedder=HashEmbedder())
+    assert {(r.query_id, r.chunk_id, r.final_pos) for r in down.reranked.collect()} == {(r.query_id, r.chunk_id, r.final_pos) for r in own.reranked.collect()}
+    empty = pipeline.Index(vault.chunks.limit(0), vault.postings.limit(0))
+    assert not empty.ready("keyword")["ready"] and vault.ready("hybrid")["ready"]
+    assert pipeline.answers(pipeline.prepare(asked, empty, settings=Settings(enable_rerank=False)), None).count() == 3
+
+
+def test_null_and_empty_headings_are_two_sources(spark):
+    from quillmill.operators import answer
+
+    vault = _vault(spark)
+    ranked = spark.createDataFrame([(1, "b::1", 1), (1, "b::2", 2), (1, "a::1", 3)], "query_id int, chunk_id string, final_pos int")
+    assert [r.display_link for r in answer.sources(ranked, vault.chunks).orderBy("n").collect()] == ["[[b.md]]", "[[b.md]]", "[[a.md#Lamps]]"]
+
+
+def test_vector_sync_and_upsert(spark):
+    from quillmill.operators import sync
+    from quillmill.sources.models import HashEmbedder, embed_chunks
+
+    vault = _vault(spark)
+    had = spark.createDataFrame([(" b::1", [1.0]), ("gone", [2.0]), (None, [3.0])], "chunk_id string, vector array<double>")
+    plan = sync.vector_plan(vault.chunks, had)
+    assert {(r.chunk_id, r.action) for r in plan.collect()} == {("a::1", "embed"), ("b::2", "embed"), ("c::1", "embed"), ("gone", "remove")}
+    after = sync.sync_vectors(vault.chunks, had.filter("chunk_id is not null"), plan, lambda c: embed_chunks(c, HashEmbedder()))
+    assert {r.chunk_id: len(r.vector) for r in after.collect()} == {"b::1": 1, "a::1": 64, "b::2": 64, "c::1": 64}
+    new = spark.createDataFrame([("x", 1, "old"), ("x", 2, "new"), ("y", 1, None)], "chunk_id string, at int, v string")
+    old = spark.createDataFrame([("x", 0, "was"), ("z", 0, "kept")], "chunk_id string, at int, v string")
+    assert {(r.chunk_id, r.v) for r in sync.upsert(old, new, order="at").collect()} == {("x", "new"), ("y", None), ("z", "kept")}
