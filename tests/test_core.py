@@ -218,22 +218,26 @@ def test_entry_queries_without_the_optional_subpackage():
 # ---- the composed way of a question
 
 
-class _Broken:
-    def chat(self, messages, temperature, as_json=False):
-        raise OSError("down")
+def _fakes():
+    """Models for tests; classes of a function travel to the workers by value."""
 
-    def rerank(self, query, documents):
-        raise OSError("down")
+    class _Broken:
+        def chat(self, messages, temperature, as_json=False):
+            raise OSError("down")
 
+        def rerank(self, query, documents):
+            raise OSError("down")
 
-class _Echo:
-    def chat(self, messages, temperature, as_json=False):
-        if not as_json:
-            return "said: " + str("Context:" in messages[1]["content"])
-        return '{"rewritten_query": "lamp oil", "memories": ["Likes lamps", " "]}'
+    class _Echo:
+        def chat(self, messages, temperature, as_json=False):
+            if not as_json:
+                return "said: " + str("Context:" in messages[1]["content"])
+            return '{"rewritten_query": "lamp oil", "memories": ["Likes lamps", " "]}'
 
-    def rerank(self, query, documents):
-        return [{"idx": i, "score": float("lamp" in d)} for i, d in enumerate(documents)]
+        def rerank(self, query, documents):
+            return [{"idx": i, "score": float("lamp" in d)} for i, d in enumerate(documents)]
+
+    return _Echo(), _Broken()
 
 
 def _vault(spark):
@@ -255,6 +259,7 @@ def test_prepare_and_answer(spark):
     from quillmill.sources.models import HashEmbedder
 
     vault = _vault(spark)
+    echo, broken = _fakes()
     asked = spark.createDataFrame([(1, 7, "the garden"), (2, 8, "zzz"), (3, 7, "")], "query_id int, conv_id int, text string")
     talk = spark.createDataFrame([(7, 1, 1, "user", "hello there"), (7, 2, 2, "assistant", "hi")], "conv_id int, seq int, msg_id int, role string, text string")
     notes = spark.createDataFrame([("m", "garden  plans", 0, 0, 0)], "id string, text string, created_at long, updated_at long, last_accessed_at long")
@@ -264,18 +269,18 @@ def test_prepare_and_answer(spark):
     assert set(got) == {1} and got[1].chunk_id.startswith("b") and made.sources.filter("query_id = 1").count() == 3
     user = made.prompts.first().user
     assert "User: hello there" in user and "- garden plans" in user and "Question: the garden" in user
-    for chat, by in ((_Echo(), True), (_Broken(), False), (None, False)):
+    for chat, by in ((echo, True), (broken, False), (None, False)):
         out = {r.query_id: r for r in pipeline.answers(made, chat).collect()}
         assert out[1].by_model is by and not out[2].by_model and "Nothing relevant" in out[2].answer
         assert ("said: True" if by else "b.md") in out[1].answer
-    log, kept = pipeline.turn(asked.filter("query_id = 1"), talk, made, pipeline.answers(made, _Echo()).filter("query_id = 1"), notes, _Echo(), 99)
+    log, kept = pipeline.turn(asked.filter("query_id = 1"), talk, made, pipeline.answers(made, echo).filter("query_id = 1"), notes, echo, 99)
     assert [(r.seq, r.role) for r in log.orderBy("seq").collect()] == [(1, "user"), (2, "assistant"), (3, "user"), (4, "assistant")]
     assert {r.text: r.last_accessed_at for r in kept.collect()} == {"garden  plans": 99, "Likes lamps": 99}
     # rewriting, vectors and an outside reranker; where the last fails, the heuristic
-    hybrid = pipeline.prepare(asked, vault, embedder=HashEmbedder(), chat=_Echo(), reranker=_Echo())
+    hybrid = pipeline.prepare(asked, vault, embedder=HashEmbedder(), chat=echo, reranker=echo)
     assert hybrid.mode == "hybrid" and hybrid.reranked.filter("query_id = 1 and final_pos = 1").first().chunk_id == "a::1"
     assert "Searched for: lamp oil" in hybrid.prompts.filter("query_id = 1").first().user
-    down = pipeline.prepare(asked, vault, embedder=HashEmbedder(), reranker=_Broken())
+    down = pipeline.prepare(asked, vault, embedder=HashEmbedder(), reranker=broken)
     own = pipeline.prepare(asked, vault, embedder=HashEmbedder())
     assert {(r.query_id, r.chunk_id, r.final_pos) for r in down.reranked.collect()} == {(r.query_id, r.chunk_id, r.final_pos) for r in own.reranked.collect()}
     empty = pipeline.Index(vault.chunks.limit(0), vault.postings.limit(0))
