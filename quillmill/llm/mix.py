@@ -9,6 +9,8 @@ from quillmill.functions.text import trim_ws
 from quillmill.llm.bpe import TOKENIZER_DIR, count_tokens
 from quillmill.runtime import stage
 
+# Up to so many targets, counted first, are broadcast to the records.
+BROADCAST_TARGETS = 100_000
 # Each refinement splits the boundary bucket by so many further bits of the hash.
 BITS, LEVELS = 12, 3
 
@@ -64,6 +66,12 @@ def budgets(sized: DataFrame, targets: DataFrame, mix_tokens: int | None = None)
     return rows.withColumn("rest", F.when(F.col("whole") < F.col("max_repeats"), rest).otherwise(0.0)).drop("share")
 
 
+def _plan(sized: DataFrame, targets: DataFrame, mix_tokens: int | None) -> DataFrame:
+    """The budgets, staged, as they are read several times; a row a target, broadcast if these are as few as they are meant to be."""
+    plan = stage(budgets(sized, targets, mix_tokens), "plan")
+    return F.broadcast(plan) if plan.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS else plan
+
+
 def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """``source, cut``: records of a source with ``spot < cut`` add up to about its ``rest``.
 
@@ -81,8 +89,9 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
         at = hist.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("upto"))).select(
             "source", (F.col("rest") - F.col("before")).alias("rest"), "prefix", "n"
         )
-        if level < LEVELS - 1:
-            at = at.drop("n")
+        at = stage(at.drop("n") if level < LEVELS - 1 else at, "boundary")
+        if level < LEVELS - 1 and at.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
+            at = F.broadcast(at)
     return at.select("source", (F.col("prefix") + (F.col("rest") * 2 >= F.col("n")).cast("bigint")).alias("cut"))
 
 
@@ -92,8 +101,12 @@ def mix(sized: DataFrame, targets: DataFrame, mix_tokens: int | None = None) ->
     No sort and no sample by chance: a record's hash against its source's threshold decides, so the same record
     comes in or stays out at every run, and a larger budget only adds records.
     """
-    plan = budgets(sized, targets, mix_tokens)
-    cuts = plan.select("source", "whole").join(thresholds(sized, plan), "source", "left")
+    return _mixed(sized, _plan(sized, targets, mix_tokens))
+
+
+def _mixed(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    cuts = stage(plan.select("source", "whole").join(thresholds(sized, plan), "source", "left"), "cuts")
+    cuts = F.broadcast(cuts) if cuts.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS else cuts
     more = F.coalesce(F.col("spot") < F.col("cut"), F.lit(False)).cast("int")
     return (
         sized.join(cuts, "source")
@@ -104,9 +117,9 @@ def mix(sized: DataFrame, targets: DataFrame, mix_tokens: int | None = None) ->
 
 def shares(sized: DataFrame, targets: DataFrame, mix_tokens: int | None = None) -> DataFrame:
     """For each source of the targets its target and actual share of all tokens of the mix, and its repeats."""
-    plan = budgets(sized, targets, mix_tokens)
+    plan = _plan(sized, targets, mix_tokens)
     taken = (
-        mix(sized, targets, mix_tokens)
+        _mixed(sized, plan)
         .groupBy("source")
         .agg(
             F.sum(F.col("n_tokens") * F.col("repeats")).alias("mix_tokens"),

@@ -148,6 +148,12 @@ SELECT x.a AS chunk_a, x.b AS chunk_b FROM t x JOIN t y ON x.a = y.b AND x.b = y
 s AS (SELECT a.k AS a, b.k AS b, array_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.k <> b.k WHERE substr(md5(a.k), 1, 3) < '029')
 SELECT a AS chunk_id, b AS neighbour_id, row_number() OVER (PARTITION BY a ORDER BY s DESC, b)::INT AS rank, round(s, 4) AS similarity
 FROM s QUALIFY rank <= 5""",
+    "p4_found": f"""
+WITH t AS (SELECT DISTINCT {_KEY % 'id'} AS k, regexp_extract_all(regexp_replace(lower(text), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+') AS w FROM chunks),
+g AS (SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 40),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+o AS (SELECT a.k AS a, b.k AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY ALL)
+SELECT a AS chunk_a, b AS chunk_b FROM o JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE o >= 0.5 * (x.n + y.n - o)""",
     "p1_found": f"""
 SELECT DISTINCT {_KEY % 'id'} AS chunk_id
 FROM chunks LEFT JOIN index_settings s
